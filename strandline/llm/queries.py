@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, licenses, mixing, secrets, simhash, urls
+from strandline.llm import decontaminate, language, licenses, mixing, secrets, simhash, urls
 from strandline.session import table
 
 
@@ -18,6 +18,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
+    "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op10_urls": op10_urls,
