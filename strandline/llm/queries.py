@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, language, licenses, mixing, secrets, simhash, toxicity, urls
+from strandline.llm import decontaminate, language, licenses, mixing, neighbours, secrets, simhash, toxicity, urls
 from strandline.session import table
 
 
@@ -34,6 +34,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op10_urls": op10_urls,
+    "op6_neighbours": op6_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
 }
