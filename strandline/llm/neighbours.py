@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from strandline.session import written
 
 #: Neighbours returned; candidates of a query that are scored exactly.
-TOP, SHORTLIST = 20, 400
+TOP, SHORTLIST = 20, 600
 #: Full-dimensional codebooks, codewords of each, hypotheses kept in encoding.
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors on which codebooks are fitted: those with the smallest hashes of their ids.
-SAMPLE, ROUNDS = 20_000, 12
+SAMPLE, ROUNDS = 16_000, 8
 #: Codes that a task scores at once against a block of queries.
 CODE_BLOCK, QUERY_BLOCK = 32_768, 4_096
 
