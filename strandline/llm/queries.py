@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, language, licenses, mixing, neighbours, secrets, simhash, toxicity, urls
+from strandline.llm import decontaminate, language, licenses, mixing, neighbours, passages, secrets, simhash, toxicity, urls
 from strandline.session import table
 
 
@@ -30,6 +30,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op9_passages": op9_passages,
     "op10_urls": op10_urls,
     "op6_neighbours": op6_neighbours,
     "op7_toxicity": op7_toxicity,
