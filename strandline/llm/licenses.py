@@ -16,7 +16,7 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _GAP_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
-#: label: (word that must occur, how its name reads in normalised words, SPDX words, whether the name speaks for itself)
+#: label: (words of which one must occur, how its name reads in normalised words, SPDX words, whether the name speaks for itself)
 NAMES: dict[str, tuple[str, str, str, bool]] = {
     "mit": ("mit", "(?:mit|expat|mit x11)", "mit", False),
     "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? (?:v)?2(?: 0)?", "apache 2(?: 0)?", False),
@@ -55,12 +55,12 @@ NAMES: dict[str, tuple[str, str, str, bool]] = {
     "odbl-1": ("database", "open database license(?: version)?(?: v)?(?: 1 0)?", "odbl 1 0", True),
     "cdla-permissive": ("community", "community data license agreement permissive(?: version)?(?: \\d \\d)?", "cdla permissive \\d \\d", True),
     "cc0-1": ("cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0", True),
-    "cc-by": ("by", "(?:cc by|creative commons attribution)(?: [1-4] \\d)?(?: international)?(?! (?:nc|sa|nd|noncommercial|sharealike|noderivatives))", "cc by [1-4] \\d", True),
-    "cc-by-sa": ("by", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] \\d)?(?: international)?", "cc by sa [1-4] \\d", True),
-    "cc-by-nd": ("by", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] \\d)?", "cc by nd [1-4] \\d", True),
-    "cc-by-nc": ("by", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] \\d)?(?: international)?(?! (?:sa|nd))", "cc by nc [1-4] \\d", True),
-    "cc-by-nc-sa": ("by", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] \\d)?", "cc by nc sa [1-4] \\d", True),
-    "cc-by-nc-nd": ("by", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] \\d)?", "cc by nc nd [1-4] \\d", True),
+    "cc-by": ("cc|attribution", "(?:cc by|creative commons attribution)(?: [1-4] \\d)?(?: international)?(?! (?:nc|sa|nd|noncommercial|sharealike|noderivatives))", "cc by [1-4] \\d", True),
+    "cc-by-sa": ("cc|attribution", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] \\d)?(?: international)?", "cc by sa [1-4] \\d", True),
+    "cc-by-nd": ("cc|attribution", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] \\d)?", "cc by nd [1-4] \\d", True),
+    "cc-by-nc": ("cc|attribution", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] \\d)?(?: international)?(?! (?:sa|nd))", "cc by nc [1-4] \\d", True),
+    "cc-by-nc-sa": ("cc|attribution", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] \\d)?", "cc by nc sa [1-4] \\d", True),
+    "cc-by-nc-nd": ("cc|attribution", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] \\d)?", "cc by nc nd [1-4] \\d", True),
     "public-domain": ("domain", "(?:the )?public domain", "public domain", False),
     "proprietary": ("rights", "all rights reserved", "proprietary", True),
 }
@@ -149,14 +149,14 @@ def scan(docs: DataFrame) -> DataFrame:
     contained in one of the same or a higher priority (by words, the earlier rule where equal) are added. score is
     the confidence of the best of them. All is done row by row: no shuffle, repeated rows repeat.
     """
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.gate).alias("gate"), F.lit(r.pattern).alias("pattern"), F.lit(i).alias("n")) for i, r in enumerate(rules())])
+    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*[F.lit(f" {w} ") for w in r.gate.split("|")]).alias("gate"), F.lit(r.pattern).alias("pattern"), F.lit(i).alias("n")) for i, r in enumerate(rules())])
     raw = F.coalesce(F.col("text"), F.lit(""))
     pieces = F.split(raw, _GAP_ANY_CASE, -1)
     count = F.size(pieces) - (F.element_at(pieces, 1) == "").cast("int") - (F.element_at(pieces, -1) == "").cast("int")
     n_words = F.greatest(F.when(raw == "", F.lit(0)).otherwise(count), F.lit(0)).cast("long")
     norm = F.when(raw.rlike(PREFILTER), F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_ascii(raw), _GAP, " ")), F.lit(" ")))
     first = docs.select("doc_id", n_words.alias("n_words"), norm.alias("norm"))
-    gated = F.filter(table, lambda r: F.contains(F.col("norm"), F.concat(F.lit(" "), r["gate"], F.lit(" "))))
+    gated = F.filter(table, lambda r: F.exists(r["gate"], lambda w: F.contains(F.col("norm"), w)))
     found = F.when(F.col("norm").isNotNull(), F.flatten(F.transform(gated, lambda r: _word_spans(F.col("norm"), r))))
     places = []
     for phrase, label in BASE.items():

@@ -134,8 +134,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, s
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with `copy` from 1; documents without words are not taken."""
-    chosen = copies(docs, weights, cap, seed).where((F.col("copies") > 0) & (F.col("size") > 0)).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    sized = docs.withColumn("_words", n_words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(chosen["_d"]) & sized["source"].eqNullSafe(chosen["_s"]) & (sized["_words"] == chosen["_n"])
-    return sized.join(chosen, same).withColumn("copy", F.explode(F.expr("sequence(1L, _c)"))).drop("_d", "_s", "_n", "_c", "_words")
+    """The rows of docs, each as often as the mix takes it, with `mix_copy` from 1 (in place of a column of that name); documents without words are not taken."""
+    chosen = copies(docs, weights, cap, seed).where((F.col("copies") > 0) & (F.col("size") > 0)).select("doc_id", "source", "size", "copies")
+    rows = docs.select(F.struct("*").alias("row"), n_words(F.col("text")).alias("words"))
+    row = F.col("row")
+    same = row["doc_id"].eqNullSafe(chosen["doc_id"]) & row["source"].eqNullSafe(chosen["source"]) & (F.col("words") == chosen["size"])
+    drawn = rows.join(chosen, same).select("row", F.explode(F.expr("sequence(1L, copies)")).alias("mix_copy"))
+    return drawn.select(*[row.getField(c).alias(c) for c in docs.columns if c.lower() != "mix_copy"], "mix_copy")

@@ -120,9 +120,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """docs with each span, or each run of overlapping spans, of its text replaced by the mask; n_chars, if there, follows.
 
-    Texts without spans, null and empty ones stay as they are, and so does every row.
+    Texts without spans, null and empty ones stay as they are, and so do every row and all other columns, whatever their names.
     """
-    found = _found(docs, docs.columns, scope)
+    found = _found(docs.select("doc_id", "text", F.struct("*").alias("_row")), ["text", "_row"], scope)
     kind = "array<struct<start:int,stop:int>>"
 
     def grow(acc: Column, x: Column) -> Column:
@@ -131,13 +131,19 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataF
         wider = F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop")))
         return F.when(F.size(acc) == 0, one).when(x["start"] <= last["stop"], F.concat(F.slice(acc, 1, F.size(acc) - 1), wider)).otherwise(F.concat(acc, one))
 
-    runs = F.aggregate("_all", F.array().cast(kind), grow)
+    found = found.withColumn("_runs", F.aggregate("_all", F.array().cast(kind), grow))
     text = F.col("text")
-    cut = lambda x, i: F.substr(text, F.coalesce(F.get("_runs", i - 1)["stop"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get("_runs", i - 1)["stop"], F.lit(0)))
+    before = lambda i: F.coalesce(F.get("_runs", i - 1)["stop"], F.lit(0))
+    kept = F.transform("_runs", lambda x, i: F.substr(text, before(i) + 1, x["start"] - before(i)))
     tail = F.substr(text, F.element_at("_runs", -1)["stop"] + 1, F.length(text))
-    masked = F.when(F.size("_all") == 0, text).otherwise(F.concat(F.array_join(F.transform("_runs", cut), mask), F.lit(mask), tail))
-    out = found.withColumn("_runs", runs).withColumn("text", F.when(text.isNull(), text).otherwise(masked))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("_all") == 0, F.col("n_chars")).otherwise(F.length("text"))
-        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    found = found.withColumn("_masked", F.when(F.size("_all") == 0, text).otherwise(F.concat(F.array_join(kept, mask), F.lit(mask), tail)))
+
+    def column(c: str) -> Column:
+        old = F.col("_row").getField(c)
+        if c == "text":
+            return F.col("_masked").alias(c)
+        if c == "n_chars":
+            return F.when(F.size("_all") == 0, old).otherwise(F.length("_masked").cast(docs.schema[c].dataType)).alias(c)
+        return old.alias(c)
+
+    return found.select(*[column(c) for c in docs.columns])
