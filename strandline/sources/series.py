@@ -68,7 +68,7 @@ def read_machine(spark: SparkSession, path: str, equipment: str = "APU", channel
 
     Analog channels must be finite, digital ones 0 or 1, times positive.
     """
-    raw = spark.read.option("header", "true").option("enforceSchema", "false").csv(path)
+    raw = spark.read.option("header", "true").csv(path)
     index = F.col(raw.columns[0]).cast("long")
     ms = F.unix_millis(F.to_timestamp("timestamp", "yyyy-MM-dd HH:mm:ss"))
     made = raw.select(ms.alias("timestamp_ms"), index.alias("source_row"), F.lit(equipment).alias("equipment_id"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in channels])
