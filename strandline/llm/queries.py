@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, language, licenses, mixing, neighbours, passages, secrets, simhash, toxicity, urls
+from strandline.llm import decontaminate, language, licenses, mixing, neighbours, oracles, passages, secrets, simhash, toxicity, urls
 from strandline.session import table
 
 
@@ -63,4 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other methods hash by XXH64, learn or draw, which SQL doesn't; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_neighbours": oracles.NEIGHBOURS,
+    "op10_urls": oracles.urls(urls.RULES),
+}

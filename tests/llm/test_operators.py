@@ -321,6 +321,25 @@ def test_urls(spark):
     assert plain[9] == "allow" and urls.judge(pages).count() == len(rows) and urls.judge(pages.limit(0)).count() == 0
 
 
+def test_queries_with_sql(spark):
+    from strandline.llm import queries
+    from tests.compare import compare, connection
+
+    sf = "/root/testdata/sf0.01"
+    for name, sql in queries.ORACLE_SQL.items():
+        compare(spark, connection(sf), sf, queries.QUERIES[name], sql)
+
+
+def test_url_sql_with_links(spark, tmp_path):
+    from strandline.llm import oracles
+    from tests.compare import compare, connection
+
+    rows = [(1, "http://x.net/fr/9", "<p>"), (2, "http://mirror.org/a", '<link rel="canonical" href="http://x.net/fr/9">'), (3, "http://other.org/", "<meta http-equiv='refresh' content='0; url=http://mirror.org/a/'>"), (4, "http://both.org/", '<link href="http://x.net/es/1" rel=canonical><link rel="canonical" href="//www.example.com/en/">'), (5, None, None), (6, "http://lone.org/?q", "x"), (7, "http://d.org/a/b", '<LINK REL=canonical HREF="c">')]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "dir"))
+    next((tmp_path / "dir").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    compare(spark, connection(str(tmp_path)), str(tmp_path), lambda s, d: urls.judge(table(s, d, "pages")), oracles.urls(urls.RULES))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
