@@ -282,7 +282,7 @@ def test_quantiser_recall():
 def test_passages(spark, odd):
     shared = words(70, 77, 10_000)
     fuzzy = [w if i % 15 != 7 else f"z{i}" for i, w in enumerate(words(90, 78, 10_000).split())]
-    rows = [*odd, (30_001, words(300, 1, 10_000) + " " + shared + " " + words(100, 2, 10_000), "en", "s"), (30_002, words(30, 3, 10_000) + " " + shared.upper(), "en", "s"), (30_003, words(90, 78, 10_000) + " " + words(50, 4, 10_000), "en", "s"), (30_004, words(40, 5, 10_000) + " " + " ".join(fuzzy), "en", "s"), (30_005, words(200, 6, 10_000), "en", "s"), (30_006, " ".join(shared.split()[:30]) + " " + words(100, 8, 10_000), "en", "s"), (30_007, "same " * 300, "en", "s"), (30_008, "other " + "same " * 200, "en", "s")]
+    rows = [*odd, (30_001, words(300, 1, 10_000) + " " + shared + " " + words(100, 2, 10_000), "en", "s"), (30_002, words(30, 3, 10_000) + " " + shared.upper(), "en", "s"), (30_003, words(90, 78, 10_000) + " " + words(50, 4, 10_000), "en", "s"), (30_004, words(40, 5, 10_000) + " " + " ".join(fuzzy), "en", "s"), (30_005, words(200, 6, 10_000), "en", "s"), (30_006, " ".join(shared.split()[:30]) + " " + words(100, 8, 10_000), "en", "s"), (None, words(20, 9, 10_000) + " " + shared, "en", "s"), (30_007, "same " * 300, "en", "s"), (30_008, "other " + "same " * 200, "en", "s")]
     docs = brute.frame(spark, rows)
     got = {}
     for r in passages.repeated(docs).collect():
@@ -295,6 +295,7 @@ def test_passages(spark, odd):
     must = {d for s in place.values() if len({x for x in s}) > 1 for d, _ in s}
     assert must <= set(got) and {30_001, 30_002, 30_003, 30_004, 30_007, 30_008} <= set(got) and not {30_005, 30_006} & set(got)
     assert got[30_001].spans == "300:370" and got[30_002].spans == "30:100" and got[30_001].partner == 30_002
+    assert got[None].spans == "20:90" and got[None].class_id is None
     assert got[10_005].class_id == 0 and got[10_005].copies == 3
     assert passages.repeated(brute.frame(spark, [])).count() == 0
 
