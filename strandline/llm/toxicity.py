@@ -24,6 +24,8 @@ CHAIN = 64
 LEAST_SHARE, LEAST_DOCS, LEAST_ODDS, MAX_FEATURES = 0.01, 4, 2.0, 20_000
 PREFIXES = (3, 4, 5, 6, 7)
 STEPS, RATE, RIDGE = 80, 0.3, 1e-4
+#: Chains whose marginals the driver holds at once in fitting.
+AT_ONCE = 4096
 
 _WORD = re.compile(r"\w+")
 #: Words whose features a task remembers at once.
@@ -146,10 +148,15 @@ class Field:
         theta = np.zeros(shape + 5)
         for step in range(1, STEPS + 1):
             self.weights, self.bias, self.moves = theta[:shape].reshape(self.weights.shape), theta[shape], theta[shape + 1 :].reshape(2, 2)
-            p, expected, _ = _marginals(self.scores(own, left, right, kinds), mask, self.moves)
-            gap = seen - np.array([np.bincount(x[mask], p[mask], len(kinds)) for x in (own, left, right)])
+            gap, expected, total = seen.copy(), np.zeros((2, 2)), 0.0
+            for low in range(0, len(own), AT_ONCE):
+                a, b, c, m = (x[low : low + AT_ONCE] for x in (own, left, right, mask))
+                p, some, _ = _marginals(self.scores(a, b, c, kinds), m, self.moves)
+                gap -= [np.bincount(x[m], p[m], len(kinds)) for x in (a, b, c)]
+                expected += some
+                total += p.sum()
             by_feature = np.array([np.bincount(feature, g[kind], self.weights.shape[1]) for g in gap]) if len(feature) else np.zeros(self.weights.shape)
-            slope = np.concatenate((by_feature.ravel(), [tags[mask].sum() - p.sum()], (moved - expected).ravel())) / len(own) - RIDGE * theta
+            slope = np.concatenate((by_feature.ravel(), [tags[mask].sum() - total], (moved - expected).ravel())) / len(own) - RIDGE * theta
             m1, m2 = 0.9 * m1 + 0.1 * slope, 0.999 * m2 + 0.001 * slope**2
             theta = theta + RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         self.weights, self.bias, self.moves = theta[:shape].reshape(self.weights.shape), theta[shape], theta[shape + 1 :].reshape(2, 2)
@@ -214,18 +221,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 words = _WORD.findall(text.as_py().lower())
                 marked = [w if any(f in field.features for f in _features(w)) else "" for w in words]
-                rows += [(marked[i : i + CHAIN], toxic) for i in range(0, len(marked), CHAIN)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.int32())], ["words", "toxic"])
+                rows += [(" ".join(marked[i : i + CHAIN]), toxic) for i in range(0, len(marked), CHAIN)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["words", "toxic"])
 
-    some = F.exists("words", lambda w: w != "")
-    picked = taught.mapInArrow(chains, "words array<string>, toxic int").orderBy(~some, F.xxhash64("words"), "toxic").limit(MAX_CHAINS).collect()
+    some = F.trim("words") != ""  # words that are no candidates are empty
+    picked = taught.mapInArrow(chains, "words string, toxic int").orderBy(~some, F.xxhash64("words"), "toxic").limit(MAX_CHAINS).collect()
     index, kinds = field.index()
     own, left, right, owner = [], [], [], np.array([r["toxic"] for r in picked])
     for row in picked:
-        ids = np.array(index(row["words"]), np.int64)
+        ids = np.array(index(row["words"].split(" ")), np.int32)
         for x, to in ((ids, own), (np.concatenate(([0], ids[:-1])), left), (np.concatenate((ids[1:], [0])), right)):
-            to.append(np.concatenate((x, np.full(CHAIN - len(x), -1))))
+            to.append(np.concatenate((x, np.full(CHAIN - len(x), -1))).astype(np.int32))
     own, left, right = np.stack(own), np.stack(left), np.stack(right)
+    del picked
     tags = ((own > 0) & (owner[:, None] == 1)).astype(float)
     field.fit(own, left, right, tags, kinds)
 
