@@ -11,7 +11,7 @@ import pytest
 
 from strandline.llm import decontaminate, language, licenses, mixing, neighbours, passages, secrets, simhash, toxicity, urls
 from strandline.llm.graph import connected_components
-from strandline.session import table
+from strandline.session import table, written
 
 from . import brute
 
@@ -348,7 +348,7 @@ def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     kept = docs
     for name, stage in cp.STAGES[:-1]:
-        out = stage(spark, kept, SF)
+        out = written(stage(spark, kept, SF), "test")  # as run() does
         assert out.columns == docs.columns, name
         assert name == "secrets" or out.exceptAll(kept).count() == 0
         kept = out
