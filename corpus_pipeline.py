@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, mixing, secrets, simhash, toxicity
+from strandline.llm import copies, decontaminate, mixing, secrets, toxicity
 from strandline.session import table, written
 
 
@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of documents that five-word shingles of Jaccard similarity 0.8 or more link the one with the smallest doc_id stays."""
+    return copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
