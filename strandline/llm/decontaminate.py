@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from strandline.session import written
 
 #: Fixed masks: a window's words at 1 are hashed, those at 0 may be anything.
 MASKS = ("110110011", "111001011", "101011101")
+#: Words that are hashed, at most, of each of the parts of an item of which one must be whole.
+PART = 4
 #: A benchmark item is found at a place where this share of its words stands ...
 OVERLAP = 0.8
 #: ... or where a stretch, a point for each equal word and -2 for each other, reaches this.
@@ -25,20 +28,33 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column, at: Column, masks: tuple[str, ...], of_items: bool) -> Column:
-    """Hashes of the windows that begin at a position, one for each mask that fits there; in items, masks without a 0 only fit the whole."""
-    made = []
-    for mask in masks:
-        picked = [F.get(tokens, at + i) for i, bit in enumerate(mask) if bit == "1"]
-        fits = F.size(tokens) == len(mask) if of_items and "0" not in mask else at + len(mask) <= F.size(tokens)
-        made.append(F.when(fits, F.xxhash64(F.lit(mask), *picked)))
-    return F.array(*made)
+def _hash(tokens: Column, at: Column, mask: str) -> Column:
+    """Hash of the words that a mask laid at a position picks."""
+    return F.xxhash64(F.lit(mask), *[F.get(tokens, at + i) for i, bit in enumerate(mask) if bit == "1"])
 
 
-def _windows(rows: DataFrame, masks: tuple[str, ...], shortest: int, of_items: bool = False) -> DataFrame:
-    """A row with `at` and `seed` for each window and mask; rows have `tokens`."""
+def _windows(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """A row with `at` and `seed` for each window and each mask that fits there; rows have `tokens`."""
+    shortest = min(map(len, masks))
     places = rows.where(F.size("tokens") >= shortest).select("*", F.explode(F.sequence(F.lit(0), F.size("tokens") - shortest)).alias("at"))
-    return places.select("*", F.explode(_seeds(F.col("tokens"), F.col("at"), masks, of_items)).alias("seed")).where(F.col("seed").isNotNull())
+    at = F.col("at")
+    seeds = [F.when(at + len(mask) <= F.size("tokens"), _hash(F.col("tokens"), at, mask)) for mask in masks]
+    return places.select("*", F.explode(F.array(*seeds)).alias("seed")).where(F.col("seed").isNotNull())
+
+
+def pieces(n: int, overlap: float) -> list[tuple[int, str]]:
+    """(position, mask) in an item of n words: wherever a share `overlap` of its words stands, the words of one of them all do.
+
+    With s words changed at most, one of s + 1 parts is whole; where parts are of one or two words, short items get each choice of s words to leave out.
+    """
+    changed = max(k for k in range(n + 1) if (n - k) / n >= min(overlap, 1.0))
+    if changed == n:
+        return [(i, "1") for i in range(n)]
+    part = n // (changed + 1)
+    if changed and part <= 2 and n <= 8:
+        masks = ["".join("0" if i in left else "1" for i in range(n)) for left in combinations(range(n), changed)]
+        return sorted({(m.index("1"), m.strip("0")) for m in masks})
+    return [(i * n // (changed + 1), "1" * min(part, PART)) for i in range(changed + 1)]
 
 
 def _compared(tokens: Column, at: Column, words: Column) -> Column:
@@ -56,23 +72,25 @@ def _compared(tokens: Column, at: Column, words: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, stretch: int = STRETCH, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """(doc_id, item_id, start, same, item_words, overlap, stretch) for each pair of document and item found in it.
 
-    Seeds of the benchmark, one for each mask and position, are joined with those of every
+    Seeds of the benchmark, one for each mask and position and one for each of its pieces, are joined with those of every
     document; around a hit the whole item is laid over the document and equal words are counted, so
-    substituted words are tolerated wherever they stand. start is the first word of the best place, ties
-    to the earliest. Items shorter than a mask are searched whole by a mask of their length. Null and empty
+    substituted words are tolerated wherever they stand. The pieces leave out no place where the share stands, in items of any length; the
+    masks find stretches. start is the first word of the best place, ties to the earliest. Null and empty
     texts and items without words match nothing; repeated rows make one pair. The benchmark's seeds are
     broadcast if they're at most max_seeds; else blocks of items are, one after another.
     """
-    span = max(map(len, MASKS))
     items = benchmark.select("item_id", _tokens(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     items = written(items, "items")
-    short = sorted(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())  # below the span: a few numbers
-    masks = (*MASKS, *("1" * n for n in short))
-    seeds = _windows(items.withColumnRenamed("words", "tokens"), masks, min([span, *short]), True)
-    wanted = written(seeds.select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
+    lengths = [r[0] for r in items.select(F.size("words")).distinct().collect()]  # a few numbers
+    cut = [(n, at, mask) for n in lengths for at, mask in pieces(n, overlap)]
+    masks = (*MASKS, *sorted({mask for _, _, mask in cut}))
+    cut = docs.sparkSession.createDataFrame(cut, "n int, item_at int, mask string")
+    of_pieces = items.join(F.broadcast(cut), F.size("words") == F.col("n")).select("item_id", "item_at", F.coalesce(*[F.when(F.col("mask") == m, _hash(F.col("words"), F.col("item_at"), m)) for m in masks]).alias("seed"))
+    seeds = _windows(items.withColumnRenamed("words", "tokens"), MASKS).select("item_id", F.col("at").alias("item_at"), "seed").unionByName(of_pieces)
+    wanted = written(seeds.select("seed", "item_id", "item_at").distinct(), "seeds")
     blocks = -(-wanted.count() // max_seeds)
     made = docs.select("doc_id", _tokens(F.col("text")).alias("tokens"))
-    spots = _windows(made, masks, min([span, *short]))
+    spots = _windows(made, masks)
     results = []
     for block in range(blocks):
         of = lambda df: df.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else df  # noqa: B023, E731
