@@ -18,13 +18,13 @@ _GAP_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 #: label: (words of which one must occur, how its name reads in normalised words, SPDX words, whether the name speaks for itself)
 NAMES: dict[str, tuple[str, str, str, bool]] = {
-    "mit": ("mit", "(?:mit|expat|mit x11)", "mit", False),
+    "mit": ("mit|expat", "(?:mit|expat|mit x11)", "mit", False),
     "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? (?:v)?2(?: 0)?", "apache 2(?: 0)?", False),
     "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version)? (?:v)?1 1", "apache 1 1", False),
-    "gpl-3": ("3", "(?:gnu )?(?:general public license|gpl)(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v)?3(?: 0)?", "gpl 3 0(?: only| or later)?", False),
-    "gpl-2": ("2", "(?:gnu )?(?:general public license|gpl)(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v)?2(?: 0)?", "gpl 2 0(?: only| or later)?", False),
-    "lgpl-3": ("3", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? (?:v)?3(?: 0)?", "lgpl 3 0(?: only| or later)?", False),
-    "lgpl-2.1": ("2", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? (?:v)?2 1", "lgpl 2 1(?: only| or later)?", False),
+    "gpl-3": ("gpl|general", "(?:gnu )?(?:general public license|gpl)(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v)?3(?: 0)?", "gpl 3 0(?: only| or later)?", False),
+    "gpl-2": ("gpl|general", "(?:gnu )?(?:general public license|gpl)(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v)?2(?: 0)?", "gpl 2 0(?: only| or later)?", False),
+    "lgpl-3": ("lgpl|lesser", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? (?:v)?3(?: 0)?", "lgpl 3 0(?: only| or later)?", False),
+    "lgpl-2.1": ("lgpl|lesser", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? (?:v)?2 1", "lgpl 2 1(?: only| or later)?", False),
     "agpl-3": ("affero", "(?:gnu )?affero general public license(?: version)? (?:v)?3(?: 0)?", "agpl 3 0(?: only| or later)?", True),
     "bsd-2-clause": ("bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause", True),
     "bsd-3-clause": ("bsd", "(?:modified bsd|new bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd 3 clause", True),
@@ -78,8 +78,11 @@ FORMS: list[tuple[int, str]] = [
 ALONE = (3, "{n}")
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.5}
 
-#: Texts without any of these hold no signature.
-PREFILTER = "(?i)licen[sc]|spdx|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|cc0|wtfpl|attribution|bsd|cc[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+by"
+#: Texts without any of these hold no signature: words of names and forms, and how the other forms begin.
+PREFILTER = (
+    "(?i)licen[sc]|spdx|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|cc0|wtfpl|attribution|bsd|cc[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+by"
+    f"|(?:released|distributed|available|provided|published|offered){_GAP_ANY_CASE}under|(?:dedicated|released|placed|committed){_GAP_ANY_CASE}(?:in|to)"
+)
 
 
 @dataclass(frozen=True)
