@@ -1,7 +1,8 @@
-"""Near copies: an exact self-join of the sets of word shingles by prefixes, rare shingles first."""
+"""Near copies by SimHash: several narrow fingerprints of word shingles, joined by their tries, then checked exactly."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,20 +10,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm import simhash
 from strandline.llm.graph import connected_components
 from strandline.llm.passages import _ODD, _mixed, _words
 from strandline.session import written
 
 #: Words of a shingle; the least Jaccard similarity, as a fraction, of the shingle sets of near copies.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Texts, and shingles that several of them hold, from which the order of shingles is made. It decides what is compared, not what is found.
-SAMPLE, COMMON = 10_000, 200_000
-#: Pairs of a group that are held at once.
-BLOCK = 1 << 20
+#: Bits in which two fingerprints of a pair that is compared may differ; the share of pairs just as similar as SIMILAR that no fingerprint may find.
+BUDGET, MISS = 3, 0.01
 #: Signatures that are broadcast to the texts (about 20 MB); for more the texts are shuffled.
 BROADCAST = 500_000
 
 
+def widths(texts: int) -> tuple[int, int]:
+    """(bits, repeats): fingerprints of so many bits that few texts of so many agree by chance, and so many of them that MISS holds.
+
+    A bit of two sets differs with the angle between them over pi; sets of Jaccard similarity s have a cosine of 2 s / (1 + s).
+    """
+    bits = min(64, max(24, math.ceil(math.log2(max(texts, 2))) + 14))
+    s = SIMILAR[0] / SIMILAR[1]
+    p = math.acos(2 * s / (1 + s)) / math.pi
+    hit = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(BUDGET + 1))
+    return bits, math.ceil(math.log(MISS) / math.log(1 - hit))
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the runs of SHINGLE words (between ASCII blanks, A-Z lowered); of all words if they are fewer."""
     words = _words(text)
@@ -56,11 +68,39 @@ def least_apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [shingles(t.as_py()) for t in batch.column("text").cast(pa.large_binary())]
-        columns = [pa.array([_signature(x) for x in made], pa.int64()), pa.array([len(x) for x in made], pa.int32()), pa.array([parities(x).tobytes() for x in made], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "sig", "n", "bits"])
+def fingerprints(found: np.ndarray, bits: int, repeats: int) -> np.ndarray:
+    """SimHash fingerprints of a set of hashes: a bit is 1 if it is set in over half of the hashes as mixed for it; each takes the next `bits` of them."""
+    if not len(found):
+        return np.zeros(repeats, np.uint64)
+    lanes = -(-bits * repeats // 64)
+    ones = []
+    for i in range(lanes):
+        mixed = _mixed(_mixed(found ^ np.uint64(0x9FB21C651E98DF25 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) * _ODD[4])
+        seen = np.bincount((mixed.view(np.uint8).reshape(len(found), 8) + simhash._COLUMN).ravel(), minlength=2048).reshape(8, 256)
+        ones.append((seen @ simhash._BYTE_BITS).ravel())
+    on = (np.concatenate(ones)[: bits * repeats] * 2 > len(found)).reshape(repeats, bits)
+    return on.astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+
+
+def _printed(bits: int, repeats: int):
+    """(doc_id, t, sig, n, bits, fps) of each text: the signature of its set, the set's size, its parities and its fingerprints."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, sizes, parity, fps = [], [], [], []
+            for text in batch.column("text").cast(pa.large_binary()):
+                found = shingles(text.as_py())
+                sigs.append(_signature(found))
+                sizes.append(len(found))
+                parity.append(parities(found).tobytes())
+                fps.append(fingerprints(found, bits, repeats))
+            flat = np.concatenate([np.empty(0, np.uint64), *fps]).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * repeats), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("t"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), listed], ["doc_id", "t", "sig", "n", "bits", "fps"]
+            )
+
+    return made
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,106 +124,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(made, pa.binary())], ["sig", "held"])
 
 
-def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [shingles(t.as_py()) for t in batch.column("text").cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64))], ["key"])
-
-
-def _prefixes(common: np.ndarray, counts: np.ndarray):
-    """(key, sig, n, pos) of the first shingles, in the order of how common they are, of each set: two sets that are similar enough share one."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [[], [], [], []]
-            for text in batch.column("text").cast(pa.large_binary()):
-                found = shingles(text.as_py())
-                n = len(found)
-                if not n:
-                    continue
-                often = np.zeros(n, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    often = np.where(common[at] == found, counts[at], 0)
-                size = n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
-                first = found[np.argsort(often, kind="stable")[:size]]
-                for to, x in zip(parts, (first.view(np.int64), np.full(size, _signature(found)), np.full(size, n, np.int32), np.arange(size, dtype=np.int32)), strict=True):
-                    to.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["key", "sig", "n", "pos"])
-
-    return made
-
-
-def _possible(n: np.ndarray, pos: np.ndarray, m: np.ndarray, rpos: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles, whose first common one stands at pos and rpos, can be similar enough."""
-    most = np.minimum(n - pos, m - rpos)
-    return SIMILAR[1] * most >= SIMILAR[0] * (n + m - most)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of keys that several sets have, each once, with the first of the key; rows come ordered by key and sig. One row is held."""
-    head, open_ = np.empty((4, 0), np.int64), False  # the first row of the last key, and whether it still waits for a second
-    names, last_sig = ["key", "sig", "n", "pos", "first", "first_n", "first_pos"], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "sig", "n", "pos")])
-        again = np.concatenate(([last_sig == (rows[0, 0], rows[1, 0])], (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])))
-        last_sig = (rows[0, -1], rows[1, -1])
-        rows = rows[:, ~again]  # equal sets
-        if not rows.shape[1]:
-            continue
-        rows = np.concatenate((head, rows), axis=1)
-        new = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        several = ~new | np.concatenate((~new[1:], [False]))
-        if head.shape[1] and not open_:
-            several[0] = False  # already given
-        last = lead[-1]
-        open_ = last == len(new) - 1
-        head = rows[:, last : last + 1]
-        if several.any():
-            out = np.concatenate((rows, rows[1:, lead]))[:, several]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
-
-
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the sets of a key that lie in different components and can be similar; rows come ordered by key. One key is held."""
-    held: list[np.ndarray] = []
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = np.concatenate(([0], np.flatnonzero(np.diff(rows[0])) + 1, [rows.shape[1]]))
-        out: list[np.ndarray] = []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            sig, n, pos, root = rows[1:, a:b]
-            step = max(1, BLOCK // (b - a))
-            for low in range(0, b - a, step):
-                i, j = np.nonzero((root[low : low + step, None] != root[None, :]) & (sig[low : low + step, None] < sig[None, :]))
-                i = i + low
-                good = _possible(n[i], pos[i], n[j], pos[j])
-                out.append(np.stack((sig[i[good]], sig[j[good]])))
-                if sum(x.shape[1] for x in out) >= BLOCK:
-                    made = np.concatenate(out, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b"])
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "sig", "n", "pos", "root")]))
-        if held[0][0, 0] == held[-1][0, -1]:
-            continue
-        rows = np.concatenate(held, axis=1)
-        cut = int(np.searchsorted(rows[0] == rows[0, -1], True))
-        yield from pairs(rows[:, :cut])
-        held = [rows[:, cut:]]
-    if held:
-        yield from pairs(np.concatenate(held, axis=1))
-
-
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -194,62 +134,79 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of signatures of unlike roots whose fingerprints differ within the budget; rows come ordered by subtrie."""
+    for c, at in simhash._by_subtrie(batches, ["side", "value", "depth", "sig", "root"]):
+        for d, f in simhash._nodes(c, at):
+            for x, y in simhash.trie_pairs(c["value"].view(np.uint64), f, d, BUDGET, c["root"]):
+                a, b = c["sig"][x], c["sig"][y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of signatures whose sets are similar enough: first by their parities, which rule most others out, then by the sets."""
-    pairs = written(pairs.distinct(), "pairs")
-    of = lambda pairs: pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(classes, "sig").select("sig", F.col("least").alias("doc_id"))
-    bits = written(prints.join(of(pairs), ["doc_id", "sig"]).select("sig", "n", "bits").distinct(), "bits")
-    both = pairs.join(bits.withColumnRenamed("sig", "a"), "a").join(bits.withColumnsRenamed({"sig": "b", "bits": "other", "n": "m"}), "b").select("a", "b", "bits", "other", "n", "m")
-    pairs = written(both.mapInArrow(_plausible, "a bigint, b bigint"), "plausible")
-    wanted = written(of(pairs), "wanted")
+    pairs = pairs.distinct()
+    left = classes.select(F.col("sig").alias("a"), "n", "bits")
+    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
+    pairs = written(pairs.join(left, "a").join(right, "b").select("a", "b", "bits", "other", "n", "m").mapInArrow(_plausible, "a bigint, b bigint"), "plausible")
+    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = written(ends.join(classes, "sig").select("sig", F.col("first.doc_id").alias("_d"), F.col("first.t").alias("_t")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    read = docs.select("doc_id", "text").join(wanted, "doc_id").select("sig", "text").mapInArrow(_sets, "sig bigint, held binary")
+    read = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_d"]) & (docs["t"] == wanted["_t"])).select("sig", "text").mapInArrow(_sets, "sig bigint, held binary")
     sets = written(read.dropDuplicates(["sig"]), "sets")
     both = pairs.join(sets.withColumnRenamed("sig", "a"), "a").join(sets.withColumnsRenamed({"sig": "b", "held": "other"}), "b").select("a", "b", "held", "other")
     return written(both.mapInArrow(_similar, "a bigint, b bigint"), "similar")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) for each row of docs that has a doc_id.
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
 
-    Texts are linked if the Jaccard similarity of their sets of shingles is SIMILAR or more; component_id is the
-    smallest doc_id that links reach. Texts without words are alike. Exact but for collisions of 64-bit hashes: similar sets share one of
-    the rarest shingles of either. In each group of sets that share one, all are compared with the first, and then just those
-    that lie in different components with each other, so a group of n near copies takes about n comparisons.
-    """
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prints, classes): doc_id, t and sig of each row; sig, root and the first (doc_id, t) of each set of shingles."""
+    bits, repeats = widths(docs.count())
+    named = _named(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(named.mapInArrow(_signatures, f"doc_id {kind}, sig bigint, n int, bits binary"), "signatures")
-    classes = written(prints.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "classes")
-    share = max(1, classes.agg(F.sum("rows")).first()[0] or 0) // SAMPLE
-    drawn = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else named
-    often = drawn.mapInArrow(_all, "key bigint").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
-    common, counts = often.column("key").to_numpy().view(np.uint64), often.column("count").to_numpy()
-    order = np.argsort(common)
-    keyed = named.select("text").mapInArrow(_prefixes(common[order], counts[order]), "key bigint, sig bigint, n int, pos int").repartition("key").sortWithinPartitions("key", "sig")
-    columns = "key bigint, sig bigint, n bigint, pos bigint, first bigint, first_n bigint, first_pos bigint"
-    rows = written(keyed.mapInArrow(_shared, columns), "shared")
-    most = F.least(F.col("n") - F.col("pos"), F.col("first_n") - F.col("first_pos"))  # as in _possible
-    stars = rows.where((F.col("sig") != F.col("first")) & (SIMILAR[1] * most >= SIMILAR[0] * (F.col("n") + F.col("first_n") - most))).select(F.col("first").alias("a"), F.col("sig").alias("b"))
-    found = _verified(stars, named, classes, prints)
+    prints = written(named.mapInArrow(_printed(bits, repeats), f"doc_id {kind}, t bigint, sig bigint, n int, bits binary, fps array<bigint>"), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")
+    classes = prints.groupBy("sig").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("fps").alias("fps"))
+    classes = written(classes, "classes")
+    rows = classes.select("sig", F.posexplode("fps").alias("rep", "fp"))
+    stars = rows.groupBy("rep", "fp").agg(F.min("sig").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
+    stars = rows.join(stars, ["rep", "fp"]).where("sig <> a").select("a", F.col("sig").alias("b"))
+    found = _verified(stars, named, classes)
     roots = written(connected_components(found), "roots")
-    placed = rows.join(roots, rows.sig == roots.node, "left").select("key", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("key")
-    crossing = placed.join(mixed, "key").repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_crossing, "a bigint, b bigint")
-    found = found.unionByName(_verified(crossing, named, classes, prints))
+    rows = classes.join(roots, classes.sig == roots.node, "left").select("sig", F.coalesce("root", "sig").alias("root"), F.posexplode("fps").alias("rep", "fp"))
+    crossing = simhash.subtries(rows, bits, BUDGET, ["sig", "root"]).mapInArrow(_crossing, "a bigint, b bigint")
+    found = found.unionByName(_verified(crossing, named, classes))
     roots = connected_components(found)
-    linked = classes.join(roots, classes.sig == roots.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    final = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
-    return prints.join(final, "sig").select("doc_id", "component_id")
+    classes = classes.join(roots, classes.sig == roots.node, "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
+    return prints.select("doc_id", "t", "sig"), classes
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for each row of docs.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is SIMILAR or more and one of their fingerprints differs
+    in at most BUDGET bits, which misses at most a share MISS of the least similar links; component_id is the smallest doc_id
+    that links reach, null if no row of the component has one. Texts without words, null ones too, are alike; repeated rows each give a row;
+    long texts are read whole. Texts whose fingerprints agree are compared with the first of them; then
+    tries are walked for pairs that still lie in different components, so a group of n near copies takes about n comparisons.
+    """
+    prints, classes = _rooted(docs)
+    least = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    return prints.join(classes.join(least, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, with all its columns.
+    """One row, with all its columns, of each group of near copies: that of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without doc_id can't
-    be named by a decision; they all stay and link nothing.
+    Decisions are on texts, not ids: of rows that share a doc_id but not a text each is judged for itself, the smaller hash of the text going first
+    among equals; rows without doc_id come after all others. Of rows alike in doc_id and text the one with the smallest hash of all its columns stays.
     """
-    kept = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    chosen = _rooted(docs)[1].groupBy("root").agg(F.min("first").alias("first"))
+    name = lambda doc_id: F.xxhash64(doc_id, doc_id.isNull())
+    chosen = chosen.select(name(F.col("first.doc_id")).alias("_k"), F.col("first.t").alias("_t"))
+    rows = docs.select(name(F.col("doc_id")).alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_h"), F.struct("*").alias("_row"))
+    kept = rows.join(chosen, ["_k", "_t"], "left_semi").groupBy("_k", "_t").agg(F.min_by("_row", "_h").alias("_row"))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

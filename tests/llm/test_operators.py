@@ -59,8 +59,6 @@ def test_simhash(spark, odd):
         if d is not None:
             least[root[f]] = min(d, least.get(root[f], d))
     assert sorted(map(repr, got)) == sorted(repr(type(got[0])(d, f"{f:016x}", least.get(root[f]))) for d, f in prints) or sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == sorted((str(d), f"{f:016x}", str(least.get(root[f]))) for d, f in prints)
-    kept = [r.doc_id for r in simhash.keep_one(brute.frame(spark, odd)).collect()]
-    assert sorted(d for d in kept if d is not None) == sorted({d for d in least.values()}) and kept.count(None) == 2
     assert simhash.near_duplicates(brute.frame(spark, [])).count() == 0
 
 
@@ -71,10 +69,22 @@ def test_trie(seed):
     near = [b ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for b in base for i, j in rng.integers(0, 64, (6, 2))]
     x = np.unique(np.concatenate((base, near)))
     want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(x[i] ^ x[j]).bit_count() <= 2}
-    assert set(zip(*map(np.ndarray.tolist, simhash.trie_pairs(x, None, 2)), strict=True)) == want
-    left, right = x[x >> np.uint64(62) == 0], x[x >> np.uint64(62) == 1]
-    cross = {(i, j) for i in range(len(left)) for j in range(len(right)) if int(left[i] ^ right[j]).bit_count() <= 2}
-    assert set(zip(*map(np.ndarray.tolist, simhash.trie_pairs(left, right, 2, 2, 1)), strict=True)) == cross
+    walked = lambda nodes, depth: [(int(i), int(j)) for a, b in simhash.trie_pairs(x, np.array(nodes, dtype=np.int64).T, depth, 2) for i, j in zip(a, b, strict=True)]
+    n = len(x)
+    assert sorted(walked([(0, n, 0, n, 0)], 0)) == sorted(want)
+    low, high = np.searchsorted(x, (1 << 62, 2 << 62))
+    cross = {(i, j) for i, j in want if i < low <= j < high}
+    assert sorted(walked([(0, low, low, high, 1)], 2)) == sorted(cross)
+
+
+def test_trie_stops_at_labels(monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", 32)
+    x = np.sort(np.repeat(np.arange(60, dtype=np.uint64), 3))
+    label = np.arange(len(x)) % 5
+    got = [(int(i), int(j)) for a, b in simhash.trie_pairs(x, np.array([[0, len(x), 0, len(x), 0]], dtype=np.int64).T, 0, 2, label) for i, j in zip(a, b, strict=True)]
+    want = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(x[i] ^ x[j]).bit_count() <= 2 and label[i] != label[j]]
+    assert sorted(got) == want
+    assert not list(simhash.trie_pairs(x, np.array([[0, len(x), 0, len(x), 0]], dtype=np.int64).T, 0, 2, np.zeros(len(x), int)))
 
 
 def test_subtries_give_the_same(spark, odd, monkeypatch):
