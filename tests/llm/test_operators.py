@@ -310,6 +310,65 @@ def test_passages(spark, odd):
     assert passages.repeated(brute.frame(spark, [])).count() == 0
 
 
+def test_common_seeds_hide_no_passage(spark, monkeypatch):
+    """Pairs of texts that share 60 words, among many texts that hold eight of them; one passage is in 40 texts."""
+    rng = random.Random(4)
+    rows, pairs = [], []
+    for i in range(10):
+        shared = words(60, 500 + i, 10_000).split()
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, " ".join([*words(20, 900 + d, 10_000).split(), *shared, *words(20, 950 + d, 10_000).split()]), "en", "s"))
+        pairs.append((2 * i, 2 * i + 1))
+        for j in range(150):
+            at = rng.randrange(53)
+            rows.append((1000 + 150 * i + j, " ".join([*words(30, 5000 + 150 * i + j, 10_000).split(), *shared[at : at + 8], *words(30, 9000 + 150 * i + j, 10_000).split()]), "en", "s"))
+    many = words(70, 77, 10_000)
+    rows += [(5000 + i, words(10 + i, 12_000 + i, 10_000) + " " + many + " " + words(10, 13_000 + i, 10_000), "en", "s") for i in range(40)]
+    docs = brute.frame(spark, rows)
+    got = {r.doc_id: r for r in passages.repeated(docs).collect()}
+    assert set(got) == {*range(20), *range(5000, 5040)}
+    for a, b in pairs:
+        assert got[a].groups == got[b].groups and got[a].links == got[b].links == 1 and got[a].partner == b
+    assert {got[5000 + i].links for i in range(40)} == {39} and len({got[5000 + i].groups for i in range(40)}) == 1
+    assert all(got[5000 + i].spans == f"{10 + i}:{80 + i}" for i in range(40))
+    monkeypatch.setattr(passages, "HELD", 3)
+    monkeypatch.setattr(passages, "NEAR", 1)
+    again = {r.doc_id: r for r in passages.repeated(docs.repartition(23)).collect()}
+    assert {d: (r.groups, r.links, r.spans) for d, r in again.items()} == {d: (r.groups, r.links, r.spans) for d, r in got.items()}
+
+
+def test_fuzzy_passages(spark):
+    """All passages whose five-word shingles are 0.8 similar are found, and the repeats of one in a text with those elsewhere."""
+    rng, rows, must = random.Random(8), [], set()
+    for i in range(60):
+        n = rng.choice((52, 70, 95, 140, 300))
+        shared = words(n, 100 + i, 10_000).split()
+        changed = list(shared)
+        for at in rng.sample(range(n), max(1, (n - 4) // 45)):
+            changed[at] = f"z{at}"
+        grams = [set(zip(*(x[k:] for k in range(5)), strict=False)) for x in (shared, changed)]
+        if 5 * len(grams[0] & grams[1]) >= 4 * len(grams[0] | grams[1]):
+            must |= {2 * i, 2 * i + 1}
+        rows += [(2 * i + k, " ".join([*words(15 + i, 300 + 2 * i + k, 10_000).split(), *x, *words(15, 700 + 2 * i + k, 10_000).split()]), "en", "s") for k, x in enumerate((shared, changed))]
+    twice = words(60, 41, 10_000)
+    rows += [(900, f"{twice} {words(70, 42, 10_000)} {twice}", "en", "s"), (901, f"{words(30, 43, 10_000)} {twice}", "en", "s")]
+    got = {r.doc_id: r for r in passages.repeated(brute.frame(spark, rows)).collect()}
+    assert len(must) > 60 and must <= set(got)
+    assert got[900].spans == "0:60,130:190" and got[901].spans == "30:90" and got[900].links == 1
+
+
+def test_stretches():
+    """Against all ranges: one is found where there is one, and each is long and similar enough."""
+    rng = np.random.default_rng(3)
+    for share in (0.7, 0.8, 0.85, 0.95):
+        for _ in range(40):
+            hit = rng.random(rng.integers(1, 160)) < share
+            total = np.concatenate(([0], np.cumsum(hit)))
+            there = any(total[j] - total[i] >= 0.8 * (j - i) - 1e-9 and hit[i] and hit[j - 1] for i in range(len(hit)) for j in range(i + 50, len(hit) + 1))
+            got = passages.stretches(hit)
+            assert bool(got) == there and all(j - i >= 50 and hit[i] and hit[j - 1] and hit[i:j].mean() >= 0.8 - 1e-9 for i, j in got) and all(x[1] <= y[0] for x, y in itertools.pairwise(got))
+
+
 def test_chain_prefers_collinear_matches():
     pos, rpos = np.array([0, 5, 10, 15, 20]), np.array([100, 105, 3, 115, 120])
     assert [c.tolist() for c in passages.chain(pos, rpos)][0] == [0, 1, 3, 4]
