@@ -19,6 +19,8 @@ BOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, ROUNDS = 16_000, 8
 #: Codes that a task scores at once against a block of queries.
 CODE_BLOCK, QUERY_BLOCK = 32_768, 4_096
+#: Blocks of which a query's hits are merged in one row.
+MERGED = 32
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -79,7 +81,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7) ->
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, shortlist: int =
 
     score: inner product of the original vectors, in double precision; ties go to the smaller vec_id. A
     vec_id that repeats is one vector, the smallest of its own. Rows that `usable` leaves out take no part;
-    rows of fewer dimensions than most are compared as far as both go and count as 0 beyond. Equal vectors are one entry of
+    a dimension that one of two vectors lacks counts as 0. Equal vectors are one entry of
     the index, which remembers the top + 1 smallest ids, all that can be returned; so many copies of a vector crowd nothing out.
     Codebooks are fitted on SAMPLE vectors; every entry is encoded, by its direction, with the norm
     stored. Blocks of queries meet blocks of codes: tables of inner products of each query with each codeword
@@ -112,8 +114,8 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, shortlist: int =
     if not n:
         return spark.createDataFrame([], kind)
     shaped = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(e, i), F.lit(0)).cast("float"))
-    entries = entries.select("entry", "ids", shaped.alias("embedding"))
-    learned = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("embedding").toArrow()
+    rough = entries.select("entry", shaped.alias("embedding"))  # to learn and to encode; scores are of the vectors as they are
+    learned = rough.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("embedding").toArrow()
     x = np.asarray(learned.column(0).combine_chunks().flatten(), dtype=np.float32).reshape(-1, width)
     x = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     books = fit(x).astype(np.float32)
@@ -129,15 +131,15 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, shortlist: int =
             lengths = np.linalg.norm(decode(codes, books), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("entry"), raw, pa.array((norms / np.maximum(lengths, 1e-9)).astype(np.float32))], ["entry", "code", "norm"])
 
-    blocks, parts = -(-n // CODE_BLOCK), -(-n // (every * QUERY_BLOCK))
-    codes = entries.select("entry", "embedding").mapInArrow(index, "entry bigint, code binary, norm float")
+    asked = valid.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("whole"), shaped.alias("q"))
+    blocks, parts = -(-n // CODE_BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
+    codes = rough.mapInArrow(index, "entry bigint, code binary, norm float")
     codes = codes.withColumn("cb", F.pmod(F.xxhash64("entry"), F.lit(blocks))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
-    asked = valid.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), shaped.alias("q"))
-    queries = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(parts))).withColumn("cb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    queries = asked.drop("whole").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(parts))).withColumn("cb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
 
     def scored(_: tuple, ask: pa.Table, have: pa.Table) -> pa.Table:
         if not ask.num_rows or not have.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(pa.struct([("s", pa.float32()), ("entry", pa.int64())])))})
+            return pa.table({"query_id": pa.array([], pa.int64()), "cb": pa.array([], pa.int64()), "found": pa.array([], pa.list_(pa.struct([("s", pa.float32()), ("entry", pa.int64())])))})
         q = np.asarray(ask.column("q").combine_chunks().flatten(), dtype=np.float32).reshape(-1, width)
         raw = b"".join(have.column("code").to_pylist())
         code = np.frombuffer(raw, np.uint8).reshape(have.num_rows, -1)
@@ -154,14 +156,18 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, shortlist: int =
             out_e.append(entry[best].ravel())
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_e))], ["s", "entry"])
         found = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * keep), flat)
-        return pa.table({"query_id": ask.column("query_id"), "found": found})
-
-    near = queries.groupBy("qb", "cb").cogroup(codes.groupBy("qb", "cb")).applyInArrow(scored, "query_id bigint, found array<struct<s:float,entry:bigint>>")
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, shortlist).alias("found"))
+        return pa.table({"query_id": ask.column("query_id"), "cb": ask.column("cb"), "found": found})
+
+    near = queries.groupBy("qb", "cb").cogroup(codes.groupBy("qb", "cb")).applyInArrow(scored, "query_id bigint, cb bigint, found array<struct<s:float,entry:bigint>>")
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, shortlist).alias("found")
+    while blocks > MERGED:  # so that no row holds the hits of more than MERGED blocks
+        blocks = -(-blocks // MERGED)
+        near = near.groupBy("query_id", F.pmod("cb", F.lit(blocks)).alias("cb")).agg(merged)
+    best = near.groupBy("query_id").agg(merged)
     pairs = best.select("query_id", F.explode("found.entry").alias("entry"))
     exact = (
         pairs.join(entries, "entry").join(asked, "query_id")
-        .select("query_id", "ids", _dot(F.col("q"), F.col("embedding")).alias("score"))
+        .select("query_id", "ids", _dot(F.col("whole"), F.col("embedding")).alias("score"))
         .select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -14,8 +14,8 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Weak candidates: each alone is too common to report.
 KEY = "(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
-USER = "(?i)\\b(user(?:name)?|login|client_?id|account(?:_?id)?)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9._@+-]{3,64})"
-ENDPOINT = "(?i)\\b[a-z][a-z0-9+.-]{1,15}://[^\\s\"'<>]{4,2048}"
+USER = "(?i)\\b(user(?:name)?|login|client_?id|account(?:_?id)?)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9._@+-]{3,})"
+ENDPOINT = "(?i)\\b[a-z][a-z0-9+.-]{1,15}://[^\\s\"'<>]{4,}"
 #: Only texts with one of these can hold complementary parts.
 _PARTS = "(?i)AKIA|(?:password|passwd|secret|token|api_?key|user(?:name)?|login|client_?id|account(?:_?id)?)[\"']?\\x20*[:=]"
 #: Code points that parts of one credential may lie apart.
@@ -64,6 +64,7 @@ def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         .where((F.size("weak") > 0) & (F.size("weak") + F.size("strong") > 1))
         .select("key", F.explode(F.concat("weak", "strong")).alias("x"))
         .select("key", "x.start", "x.n", "x.stop")
+        .distinct()  # repeated rows share a key
     )
     n = F.col("n")
     of = lambda *kinds: n.isin(*[KINDS.index(k) for k in kinds])
@@ -105,7 +106,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row of docs.
 
     Null and empty texts have no spans; repeated rows repeat; equal starts are listed in the order of
-    KINDS. Base spans may overlap those of another kind and all stay. Texts are not shuffled: linking moves the
+    KINDS. Base spans may overlap those of another kind and all stay. Texts and spans of any length are taken whole; further columns are ignored. Texts are not shuffled: linking moves the
     parts of texts that hold some, and rows without text carry its result back.
     """
     found = _found(docs, ["doc_id"], scope)

@@ -32,6 +32,11 @@ _WORD = re.compile(r"\w+")
 _REMEMBERED = 400_000
 
 
+def _words(text: str | None) -> list[str]:
+    """The words of a text, each lower-cased for itself, so that their places are those in the text."""
+    return [w.lower() for w in _WORD.findall(text)] if text else []
+
+
 def _features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
 
@@ -41,7 +46,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = (Counter(), Counter())
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            words = set(_WORD.findall((text.as_py() or "").lower()))
+            words = set(_words(text.as_py()))
             seen[toxic].update({f for w in words for f in _features(w)})
         every = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([seen[1][f] for f in every], pa.int64()), pa.array([seen[0][f] for f in every], pa.int64())], ["feature", "yes", "no"])
@@ -51,7 +56,7 @@ def _cut(batch_texts: list[str | None], index: Callable[[list[str]], list[int]])
     """Chains of the texts: word numbers (chains x CHAIN, -1 where there is none), their neighbours' numbers, and the text of each chain."""
     ids, neighbours_l, neighbours_r, owner = [], [], [], []
     for i, text in enumerate(batch_texts):
-        words = _WORD.findall(text.lower()) if text else []
+        words = _words(text)
         if not words:
             continue
         own = np.array(index(words), np.int64)
@@ -193,15 +198,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
     """A field fitted on at most MAX_DOCS labelled documents of which none is held out.
 
     Labels mark documents, so words are labelled first: those with a feature that toxic documents have far
-    more often offend where they stand in a toxic document. A doc_id with several labels is toxic if one says so; nulls teach nothing.
+    more often offend where they stand in a toxic document. A doc_id with several labels is toxic if one says so, one with several texts teaches the one of the smallest hash; nulls teach nothing.
     """
     sample = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
     )
-    taught = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    taught = written(taught.repartition(F.xxhash64("text")), "labelled")
+    taught = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    taught = taught.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    taught = written(taught.select("text", "toxic"), "labelled")
     n = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
     yes, no = n.get(1, 0), n.get(0, 0)
     least = max(LEAST_DOCS, LEAST_SHARE * yes)
@@ -219,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                words = _WORD.findall(text.as_py().lower())
+                words = _words(text.as_py())
                 marked = [w if any(f in field.features for f in _features(w)) else "" for w in words]
                 rows += [(" ".join(marked[i : i + CHAIN]), toxic) for i in range(0, len(marked), CHAIN)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["words", "toxic"])
@@ -244,13 +250,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
             made = np.concatenate([field.read(texts[a:b], index, kinds)[0] for a, b in _groups(texts)])
             yield pa.RecordBatch.from_arrays([pa.array(made[:, 1]), pa.array(made[:, 2]), pa.array(made[:, 3]), batch.column("toxic")], ["a", "b", "c", "toxic"])
 
-    rows = np.array([tuple(r) for r in taught.mapInArrow(summaries, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic").collect()])
-    x, y = np.column_stack((np.ones(len(rows)), rows[:, :3])), rows[:, 3]
+    alike = taught.mapInArrow(summaries, "a double, b double, c double, toxic int").groupBy("a", "b", "c", "toxic").agg(F.count("*").alias("k"))
+    rows = np.array(sorted(tuple(r) for r in alike.collect()))  # MAX_DOCS at most
+    x, y, k = np.column_stack((np.ones(len(rows)), rows[:, :3])), rows[:, 3], rows[:, 4]
     weights = np.zeros(4)
     for _ in range(30):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 0.05, 0.05, 0.05])
-        weights = weights + np.linalg.solve(h, x.T @ (y - p) - np.array([1e-3, 0.05, 0.05, 0.05]) * weights)
+        h = (x * (k * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 0.05, 0.05, 0.05])
+        weights = weights + np.linalg.solve(h, x.T @ (k * (y - p)) - np.array([1e-3, 0.05, 0.05, 0.05]) * weights)
     field.summary = weights
     return field
 
@@ -261,7 +268,7 @@ def score(docs: DataFrame, labels: DataFrame, field: Field | None = None) -> Dat
     score: probability, from the tags' forward-backward marginals over all words, that the document is
     labelled toxic; predicted: 1 from 0.5. spans: start:end code points of words whose marginal is 0.5 or more,
     comma-joined. Null and empty texts get what a document without words gets. Without toxic labels all scores
-    are near 0. Repeated rows repeat. Only texts are read to score.
+    are near 0. Repeated rows repeat. Only texts, whole ones, are read to score; further columns are ignored.
     """
     field = learn(docs, labels) if field is None else field
 
@@ -275,10 +282,8 @@ def score(docs: DataFrame, labels: DataFrame, field: Field | None = None) -> Dat
                 scores.append(1 / (1 + np.exp(-np.clip(summary @ field.summary, -30, 30))))
                 found = [""] * (high - low)
                 for i in np.unique(owner[(p >= 0.5).any(axis=1)]):
-                    lowered, text = texts[low + i].lower(), texts[low + i]
                     hit = p[owner == i].ravel() >= 0.5
-                    words = _WORD.finditer(lowered) if len(lowered) == len(text) else iter(())
-                    found[i] = ",".join(f"{w.start()}:{w.end()}" for w, h in zip(words, hit, strict=False) if h)
+                    found[i] = ",".join(f"{w.start()}:{w.end()}" for w, h in zip(_WORD.finditer(texts[low + i]), hit, strict=False) if h)
                 spans += found
             flat = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(flat), pa.array(spans, pa.string())], ["doc_id", "score", "spans"])
