@@ -20,6 +20,12 @@ OVERLAP = 0.8
 STRETCH = 13
 #: Seeds of benchmark items that are broadcast at once (about 100 MB); more go in blocks of items.
 MAX_SEEDS = 2_000_000
+#: Places (document, item, start) that are broadcast with their items to the documents (some 50 MB).
+MAX_PLACES = 100_000
+#: Hashes of contaminated texts that are broadcast (some 30 MB); for more the documents are shuffled.
+MAX_FOUND = 500_000
+#: Windows of a text that are hashed at once.
+STRIDE = 4096
 
 
 def _tokens(text: Column) -> Column:
@@ -33,13 +39,19 @@ def _hash(tokens: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(tokens, at + i) for i, bit in enumerate(mask) if bit == "1"])
 
 
-def _windows(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """A row with `at` and `seed` for each window and each mask that fits there; rows have `tokens`."""
-    shortest = min(map(len, masks))
-    places = rows.where(F.size("tokens") >= shortest).select("*", F.explode(F.sequence(F.lit(0), F.size("tokens") - shortest)).alias("at"))
-    at = F.col("at")
-    seeds = [F.when(at + len(mask) <= F.size("tokens"), _hash(F.col("tokens"), at, mask)) for mask in masks]
-    return places.select("*", F.explode(F.array(*seeds)).alias("seed")).where(F.col("seed").isNotNull())
+def _windows(rows: DataFrame, masks: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """(keep, at, seed) for each window and each mask that fits there; rows have `tokens`.
+
+    Texts are cut into stretches of STRIDE windows first, so what a row carries along is a stretch, not a text.
+    """
+    reach, n = max(map(len, masks)), F.size("tokens")
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / STRIDE).cast("int"))
+    cut = rows.where(n >= min(map(len, masks))).select(*keep, F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i * STRIDE + 1, STRIDE + reach - 1))).alias("stretch", "part"))
+    part = F.col("part")
+    places = F.sequence(F.lit(0), F.least(F.size(part), F.lit(STRIDE)) - 1)
+    made = F.flatten(F.transform(places, lambda i: F.array(*[F.struct(i.alias("i"), F.when(i + len(mask) <= F.size(part), _hash(part, i, mask)).alias("seed")) for mask in masks])))
+    found = cut.select(*keep, "stretch", F.explode(F.filter(made, lambda x: x["seed"].isNotNull())).alias("x"))
+    return found.select(*keep, (F.col("stretch") * STRIDE + F.col("x.i")).alias("at"), F.col("x.seed").alias("seed"))
 
 
 def pieces(n: int, overlap: float) -> list[tuple[int, str]]:
@@ -70,48 +82,60 @@ def _compared(tokens: Column, at: Column, words: Column) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, stretch: int = STRETCH, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """(doc_id, item_id, start, same, item_words, overlap, stretch) for each pair of document and item found in it.
+    """(doc_id, item_id, items, start, same, item_words, overlap, stretch) for each pair of document and benchmark text found in it.
 
     Seeds of the benchmark, one for each mask and position and one for each of its pieces, are joined with those of every
-    document; around a hit the whole item is laid over the document and equal words are counted, so
+    document; around a hit, once for each place, the whole item is laid over the document and equal words are counted, so
     substituted words are tolerated wherever they stand. The pieces leave out no place where the share stands, in items of any length; the
-    masks find stretches. start is the first word of the best place, ties to the earliest. Null and empty
-    texts and items without words match nothing; repeated rows make one pair. The benchmark's seeds are
-    broadcast if they're at most max_seeds; else blocks of items are, one after another.
+    masks find stretches. start is the first word of the best place, ties to the earliest. Items of equal words are one, that of the smallest item_id; items
+    is their number. Null and empty texts and items without words match nothing; rows alike in doc_id and text make one pair,
+    texts that share a doc_id or have none each their own; texts are read whole; further columns are ignored. The benchmark's seeds are
+    broadcast if they're at most max_seeds; else blocks of them are, one after another. Places are few; they are broadcast to the
+    documents if they're at most MAX_PLACES, else joined by a shuffle.
     """
     items = benchmark.select("item_id", _tokens(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    items = items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count("*").alias("items"))
     items = written(items, "items")
     lengths = [r[0] for r in items.select(F.size("words")).distinct().collect()]  # a few numbers
     cut = [(n, at, mask) for n in lengths for at, mask in pieces(n, overlap)]
     masks = (*MASKS, *sorted({mask for _, _, mask in cut}))
     cut = docs.sparkSession.createDataFrame(cut, "n int, item_at int, mask string")
     of_pieces = items.join(F.broadcast(cut), F.size("words") == F.col("n")).select("item_id", "item_at", F.coalesce(*[F.when(F.col("mask") == m, _hash(F.col("words"), F.col("item_at"), m)) for m in masks]).alias("seed"))
-    seeds = _windows(items.withColumnRenamed("words", "tokens"), MASKS).select("item_id", F.col("at").alias("item_at"), "seed").unionByName(of_pieces)
+    seeds = _windows(items.withColumnRenamed("words", "tokens"), MASKS, ["item_id"]).select("item_id", F.col("at").alias("item_at"), "seed").unionByName(of_pieces)
     wanted = written(seeds.select("seed", "item_id", "item_at").distinct(), "seeds")
     blocks = -(-wanted.count() // max_seeds)
-    made = docs.select("doc_id", _tokens(F.col("text")).alias("tokens"))
-    spots = _windows(made, masks)
-    results = []
+    name = [F.col("doc_id"), F.xxhash64("text").alias("t")]
+    made = docs.where(F.col("text").isNotNull()).select(*name, _tokens(F.col("text")).alias("tokens"))
+    spots = _windows(made, masks, ["doc_id", "t"])
+    hits = []
     for block in range(blocks):
-        of = lambda df: df.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else df  # noqa: B023, E731
-        hits = spots.join(F.broadcast(of(wanted)), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start"), "tokens")
-        laid = hits.join(F.broadcast(of(items)), "item_id").withColumn("c", _compared(F.col("tokens"), F.col("start"), F.col("words")))
-        share = F.col("c.same") / F.size("words")
-        results.append(
-            laid.where((share >= overlap) | (F.col("c.stretch") >= stretch))
-            .select("doc_id", "item_id", F.size("words").alias("item_words"), F.struct(F.col("c.same").alias("same"), F.col("c.stretch").alias("stretch"), (-F.col("start")).alias("from")).alias("place"))
-            .groupBy("doc_id", "item_id")
-            .agg(F.max(F.struct("place", "item_words")).alias("best"))
-        )
+        some = wanted.where(F.pmod(F.col("seed"), F.lit(blocks)) == block) if blocks > 1 else wanted
+        hits.append(spots.join(F.broadcast(some), "seed").select("doc_id", "t", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct())
     kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    if not results:
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind[0]}, item_id {kind[1]}, start int, same int, item_words int, overlap double, stretch int")
-    return reduce(DataFrame.unionByName, results).select(
-        "doc_id", "item_id", (-F.col("best.place.from")).alias("start"), F.col("best.place.same").alias("same"), F.col("best.item_words").alias("item_words"),
-        (F.col("best.place.same") / F.col("best.item_words")).alias("overlap"), F.col("best.place.stretch").alias("stretch"),
+    if not hits:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind[0]}, item_id {kind[1]}, items bigint, start int, same int, item_words int, overlap double, stretch int")
+    hits = written(reduce(DataFrame.unionByName, hits).distinct(), "hits")
+    named = hits.join(items, "item_id").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "item_id", "items", "start", "words")
+    few = hits.count() <= MAX_PLACES
+    same_text = made["doc_id"].eqNullSafe(F.col("_d")) & (made["t"] == F.col("_t"))
+    laid = made.join(F.broadcast(named) if few else named, same_text).select("doc_id", "t", "item_id", "items", "start", F.size("words").alias("item_words"), _compared(F.col("tokens"), F.col("start"), F.col("words")).alias("c"))
+    share = F.col("c.same") / F.col("item_words")
+    best = (
+        laid.where((share >= overlap) | (F.col("c.stretch") >= stretch))
+        .select("doc_id", "t", "item_id", "items", "item_words", F.struct(F.col("c.same").alias("same"), F.col("c.stretch").alias("stretch"), (-F.col("start")).alias("from")).alias("place"))
+        .groupBy("doc_id", "t", "item_id").agg(F.max("place").alias("best"), F.max("item_words").alias("item_words"), F.max("items").alias("items"))
+    )
+    return best.select(
+        "doc_id", "item_id", "items", (-F.col("best.from")).alias("start"), F.col("best.same").alias("same"), "item_words",
+        (F.col("best.same") / F.col("item_words")).alias("overlap"), F.col("best.stretch").alias("stretch"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, stretch: int = STRETCH) -> DataFrame:
-    """The rows of docs in which no item of the benchmark is found; rows without doc_id all stay."""
-    return docs.join(overlaps(docs, benchmark, overlap, stretch).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, with all their columns, in whose text no item of the benchmark is found, whatever their doc_id."""
+    name = F.xxhash64("text")
+    found = overlaps(docs.select(name.alias("doc_id"), "text"), benchmark, overlap, stretch).select(F.col("doc_id").alias("_t")).distinct()
+    found = written(found, "found")
+    found = F.broadcast(found) if found.count() <= MAX_FOUND else found
+    rows = docs.select(F.coalesce(name, F.lit(0)).alias("_t"), F.struct("*").alias("_row"))
+    return rows.join(found, "_t", "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
