@@ -74,6 +74,135 @@ FORMS: list[tuple[int, str]] = [
     (2, "{n} licen[sc]e(?:d)?"),
     (3, "licen[sc]e(?:d)?(?: is| as| type| name)? {n}"),
 ]
+#: Signatures written out: priority, label, words of which one must occur, and how the words of a text, header or address read.
+SIGNATURES: list[tuple[int, str, str, str]] = [
+    (1, "mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
+    (1, "mit", "notice", "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions"),
+    (2, "mit", "warranty", "the software is provided as is without warranty of any kind express or implied"),
+    (2, "mit", "liable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    (1, "isc", "hereby", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    (2, "isc", "disclaims", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    (1, "bsd", "redistribution", "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
+    (2, "bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    (2, "bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    (1, "bsd-3-clause", "endorse", "neither the names? of (?:[^ ]+ ){1,12}?nor the names of (?:its|their|any) contributors may be used to endorse or promote"),
+    (1, "bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
+    (2, "bsd", "disclaimed", "this software is provided by the (?:copyright holders? and contributors|regents and contributors|author) as is and any express or implied warranties (?:[^ ]+ ){1,20}?are disclaimed"),
+    (3, "bsd", "bsd", "bsd (?:style |like |type )?licen[sc]ed?"),
+    (3, "bsd", "bsd", "under (?:the )?(?:terms of the )?bsd"),
+    (2, "bsd-2-clause", "freebsd", "free ?bsd licen[sc]e"),
+    (2, "0bsd", "0bsd|zero", "(?:0bsd|bsd zero clause|zero clause bsd)"),
+    (1, "apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance"),
+    (2, "apache-2", "apache", "(?:http |https )?(?:www )?apache org licenses license 2 0"),
+    (2, "apache-2", "asl|apache2|apachev2", "(?:asl 2(?: 0)?|apachev?2(?: 0)?)"),
+    (2, "apache-2", "unless", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    (1, "gpl-2", "general", "under the terms of the gnu general public license(?: as published by the free software foundation)? (?:either )?version 2"),
+    (1, "gpl-3", "general", "under the terms of the gnu general public license(?: as published by the free software foundation)? (?:either )?version 3"),
+    (1, "lgpl-2.1", "lesser", "under the terms of the gnu lesser general public license(?: as published by the free software foundation)? (?:either )?version 2 1"),
+    (1, "lgpl-3", "lesser", "under the terms of the gnu lesser general public license(?: as published by the free software foundation)? (?:either )?version 3"),
+    (1, "lgpl-2", "library", "under the terms of the gnu library general public license(?: as published by the free software foundation)?"),
+    (1, "agpl-3", "affero", "under the terms of the gnu affero general public license(?: as published by the free software foundation)?"),
+    (2, "gpl", "general", "you should have received a copy of the gnu general public license"),
+    (2, "lgpl", "lesser", "you should have received a copy of the gnu lesser general public license"),
+    (2, "agpl-3", "affero", "you should have received a copy of the gnu affero general public license"),
+    (2, "gpl-3", "gplv3|gpl3", "gplv?3(?: 0)?(?: only| or later)?"),
+    (2, "gpl-2", "gplv2|gpl2", "gplv?2(?: 0)?(?: only| or later)?"),
+    (2, "lgpl-3", "lgplv3|lgpl3", "lgplv?3(?: 0)?(?: only| or later)?"),
+    (2, "lgpl-2.1", "lgplv2|lgpl2", "lgplv?2 1(?: only| or later)?"),
+    (2, "lgpl-2", "lgplv2|lgpl2", "lgplv?2(?: 0)?(?! 1)"),
+    (2, "agpl-3", "agplv3|agpl3", "agplv?3(?: 0)?(?: only| or later)?"),
+    (3, "agpl-3", "agpl", "(?:gnu )?agpl"),
+    (3, "gpl", "gpl", "(?:gnu gpl|gpl licen[sc]ed?|under (?:the )?(?:terms of the )?(?:gnu )?gpl)"),
+    (3, "lgpl", "lgpl", "(?:gnu lgpl|lgpl licen[sc]ed?|under (?:the )?(?:terms of the )?(?:gnu )?lgpl)"),
+    (3, "gpl", "general", "(?:the )?gnu general public license"),
+    (3, "lgpl", "lesser", "(?:the )?gnu lesser general public license"),
+    (2, "gpl", "copyleft", "(?:strong )?copyleft licen[sc]e"),
+    (2, "gfdl", "documentation", "gnu free documentation license(?: version 1 \\d)?"),
+    (3, "gfdl", "gfdl", "gfdl"),
+    (2, "eupl-1.2", "eupl", "(?:under (?:the )?(?:terms of the )?)?eupl(?: v ?1 2| version 1 2| 1 2)?"),
+    (2, "eupl-1.2", "european", "european union public licen[sc]e"),
+    (1, "mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (1, "mpl-2", "mpl", "if a copy of the mpl was not distributed with this file"),
+    (1, "mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    (2, "mpl-2", "mpl|mplv2", "(?:mpl 2 0|mplv2|mpl v2)"),
+    (3, "mpl", "mozilla", "mozilla public license"),
+    (1, "epl-2", "eclipse", "accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2 0"),
+    (1, "epl-1", "eclipse", "accompanying materials are made available under the terms of the eclipse public license (?:v |version )?1 0"),
+    (2, "epl-2", "epl", "epl (?:v ?)?2 0"),
+    (2, "epl-1", "epl", "epl (?:v ?)?1 0"),
+    (1, "cddl-1", "development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    (3, "cddl-1", "cddl", "cddl(?: 1 0| v1)? licen[sc]e"),
+    (1, "zlib", "liable", "provided as is without any express or implied warranty in no event will the authors be held liable"),
+    (1, "zlib", "altered", "altered source versions must be plainly marked as such"),
+    (1, "zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    (1, "boost-1", "boost", "distributed under the boost software license"),
+    (2, "boost-1", "boost", "(?:www )?boost org license 1 0 txt"),
+    (1, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    (1, "unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    (1, "unlicense", "dedicate", "dedicate any and all copyright interest in the software to the public domain"),
+    (2, "unlicense", "unlicense", "(?:http |https )?unlicense org"),
+    (1, "wtfpl", "want", "do what the f[a-z]+ you want to public license"),
+    (2, "perl", "perl", "under the same terms as perl(?: itself)?"),
+    (2, "artistic-1", "artistic", "(?:the )?(?:perl )?artistic license"),
+    (1, "python-2", "psf|python", "(?:psf license agreement for python|python software foundation license)"),
+    (1, "openssl", "openssl", "this product includes software developed by the openssl project"),
+    (1, "ofl-1.1", "font", "this font software is licensed under the sil open font license"),
+    (2, "ofl-1.1", "scripts|openfontlicense", "(?:scripts sil org ofl|openfontlicense org)"),
+    (1, "cc-by", "creative", "licensed under a creative commons attribution (?:[1-4] \\d )?(?:international |unported |generic )?license"),
+    (1, "cc-by-sa", "creative", "licensed under a creative commons attribution share ?alike (?:[1-4] \\d )?(?:international |unported |generic )?license"),
+    (1, "cc-by-nc", "creative", "licensed under a creative commons attribution non ?commercial (?:[1-4] \\d )?(?:international |unported |generic )?license"),
+    (1, "cc-by-nd", "creative", "licensed under a creative commons attribution no ?deriv(?:ative)?s (?:[1-4] \\d )?(?:international |unported |generic )?license"),
+    (2, "cc-by", "creativecommons", "creativecommons org licenses by(?! nc| sa| nd)(?: [1-4] \\d)?"),
+    (2, "cc-by-sa", "creativecommons", "creativecommons org licenses by sa(?: [1-4] \\d)?"),
+    (2, "cc-by-nd", "creativecommons", "creativecommons org licenses by nd(?: [1-4] \\d)?"),
+    (2, "cc-by-nc", "creativecommons", "creativecommons org licenses by nc(?! sa| nd)(?: [1-4] \\d)?"),
+    (2, "cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa(?: [1-4] \\d)?"),
+    (2, "cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd(?: [1-4] \\d)?"),
+    (2, "cc0-1", "creativecommons", "creativecommons org publicdomain zero(?: 1 0)?"),
+    (1, "cc0-1", "waived", "to the extent possible under law (?:[^ ]+ ){1,8}?(?:has|have) waived all copyright"),
+    (2, "public-domain", "creativecommons", "creativecommons org publicdomain mark(?: 1 0)?"),
+    (3, "public-domain", "domain", "public domain (?:mark|dedication|work|software)"),
+    (3, "public-domain", "rights", "no rights reserved"),
+    (3, "some-rights-reserved", "rights", "some rights reserved"),
+    (2, "proprietary", "permission|consent", "(?:may|must) not be (?:copied|reproduced|distributed|used|modified|published)(?: or (?:copied|reproduced|distributed|used|modified|published))* without (?:the )?(?:express )?(?:prior )?(?:written )?(?:permission|consent)"),
+    (2, "proprietary", "part", "no part of this (?:publication|document|work|book|site|website) may be reproduced"),
+    (2, "proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
+    (2, "proprietary", "prohibited", "unauthori[sz]ed (?:copying|reproduction|distribution|use|redistribution) (?:of this (?:file|software|document|material) )?(?:via any medium )?is (?:strictly )?prohibited"),
+    (2, "proprietary", "user", "end user licen[sc]e agreement"),
+    (2, "proprietary", "commercial", "(?:under a commercial licen[sc]e|commercial licen[sc]e (?:is )?required)"),
+    (2, "elastic-2", "elastic", "elastic license(?: 2 0| v2)?"),
+    (2, "commons-clause", "commons", "commons clause (?:license )?(?:condition|restriction|v1)"),
+    (2, "polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict|internal use|free trial) license"),
+    (2, "hippocratic", "hippocratic", "hippocratic license"),
+    (1, "json", "evil", "the software shall be used for good not evil"),
+    (2, "beerware", "beerware|beer", "(?:beerware|the beer ware) license"),
+    (2, "ms-pl", "microsoft|ms", "(?:microsoft public license|ms pl license)"),
+    (2, "ms-rl", "microsoft|ms", "(?:microsoft reciprocal license|ms rl license)"),
+    (2, "afl-3", "academic", "academic free license(?: version)?(?: v)?(?: 3 0)?"),
+    (2, "osl-3", "open", "open software license(?: version)?(?: v)?(?: 3 0)?"),
+    (2, "blueoak-1", "blue", "blue oak model license(?: 1 0 0)?"),
+    (2, "ncsa", "ncsa", "(?:university of illinois )?ncsa open source license"),
+    (2, "w3c", "w3c", "w3c (?:software notice and|software and document) license"),
+    (2, "x11", "x11", "x11 license"),
+    (2, "vim", "vim", "vim license"),
+    (2, "ipl-1", "ibm", "ibm public license(?: version)?(?: 1 0)?"),
+    (2, "qpl-1", "q", "q public license(?: version)?(?: 1 0)?"),
+    (2, "sleepycat", "sleepycat", "sleepycat license"),
+    (2, "nasa-1.3", "nasa", "nasa open source agreement(?: 1 3)?"),
+    (2, "cecill", "cecill", "cecill(?: [abc])?(?: (?:version )?[12](?: [01])?)? licen[sc]e"),
+    (2, "mulan-2", "mulan", "mulan (?:psl|permissive software license)(?: v ?2| version 2)?"),
+    (2, "ogl", "government", "open government licen[sc]e(?: v ?[123](?: 0)?)?"),
+    (2, "odc-by", "commons", "open data commons attribution licen[sc]e"),
+    (2, "pddl", "commons", "open data commons public domain dedication and licen[sc]e"),
+    (2, "cdla-sharing", "community", "community data license agreement sharing(?: version \\d \\d)?"),
+    (2, "llama", "llama", "llama (?:\\d (?:\\d )?)?community license"),
+    (2, "openrail", "rail|openrail", "(?:bigscience|bigcode|creativeml) (?:open ?)?rail m? ?licen[sc]e"),
+    (2, "apsl-2", "apple", "apple public source license(?: version)?(?: 2 0)?"),
+    (2, "ecl-2", "educational", "educational community license(?: version)?(?: 2 0)?"),
+    (2, "ntp", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose (?:with or )?without fee is hereby granted"),
+    (2, "tcl", "hereby", "the authors hereby grant permission to use copy modify distribute and license this software"),
+]
+
 #: A name that speaks for itself is a rule of its own.
 ALONE = (3, "{n}")
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.5}
@@ -81,6 +210,7 @@ CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.5}
 #: Texts without any of these hold no signature: words of names and forms, and how the other forms begin.
 PREFILTER = (
     "(?i)licen[sc]|spdx|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|cc0|wtfpl|attribution|bsd|cc[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+by"
+    "|hereby|redistribut|copyright|gpl|gfdl|eupl|(?<![a-z])(?:mpl|epl|asl|perl|psf|sil)(?![a-z])|mplv2|0bsd|zero|apache|disclaim|advertis|endorse|misrepresent|plainly|unencumbered|anyone|dedicat|openssl|openfont|unauthori|reproduced|confidential|(?:permission|consent)|commons|evil|mulan|nasa|boost|warrant|to[^0-9a-z]+the[^0-9a-z]+extent"
     f"|(?:released|distributed|available|provided|published|offered){_GAP_ANY_CASE}under|(?:dedicated|released|placed|committed){_GAP_ANY_CASE}(?:in|to)"
 )
 
@@ -94,12 +224,13 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The ordered rules: every form of every name, under word limits."""
+    """The ordered rules: every form of every name, and the signatures, under word limits."""
     made = []
     for label, (word, name, spdx, alone) in NAMES.items():
         for priority, form in [*FORMS, *([ALONE] if alone else [])]:
             gate = "spdx" if "{s}" in form else word
             made.append(Rule(label, priority, gate, "(?<= )" + form.format(n=f"(?:{name})", s=f"(?:{spdx})") + "(?= )"))
+    made += [Rule(label, priority, gate, f"(?<= ){pattern}(?= )") for priority, label, gate, pattern in SIGNATURES]
     return sorted(made, key=lambda r: r.priority)
 
 
