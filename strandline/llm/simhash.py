@@ -17,9 +17,9 @@ SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 2
 #: Rows of a subtrie beyond which it is split.
 SUBTRIE = 16_384
 #: Rows that a task walks at once; a subtrie is never cut.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 #: Node pairs, and pairs of fingerprints, that a task holds at once; what is beyond waits on a stack. Pairs of a node pair that are compared at once.
-FRONTIER, LEAF = 1 << 20, 16
+FRONTIER, LEAF = 1 << 17, 16
 #: Split subtries that are broadcast (each stands for SUBTRIE rows or more); more are joined by a shuffle.
 BROADCAST = 100_000
 
