@@ -25,7 +25,7 @@ MAX_PLACES = 100_000
 #: Hashes of contaminated texts that are broadcast (some 30 MB); for more the documents are shuffled.
 MAX_FOUND = 500_000
 #: Windows of a text that are hashed at once.
-STRIDE = 4096
+STRIDE = 256
 
 
 def _tokens(text: Column) -> Column:
@@ -47,11 +47,11 @@ def _windows(rows: DataFrame, masks: tuple[str, ...], keep: list[str]) -> DataFr
     reach, n = max(map(len, masks)), F.size("tokens")
     starts = F.sequence(F.lit(0), F.floor((n - 1) / STRIDE).cast("int"))
     cut = rows.where(n >= min(map(len, masks))).select(*keep, F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i * STRIDE + 1, STRIDE + reach - 1))).alias("stretch", "part"))
-    part = F.col("part")
-    places = F.sequence(F.lit(0), F.least(F.size(part), F.lit(STRIDE)) - 1)
-    made = F.flatten(F.transform(places, lambda i: F.array(*[F.struct(i.alias("i"), F.when(i + len(mask) <= F.size(part), _hash(part, i, mask)).alias("seed")) for mask in masks])))
-    found = cut.select(*keep, "stretch", F.explode(F.filter(made, lambda x: x["seed"].isNotNull())).alias("x"))
-    return found.select(*keep, (F.col("stretch") * STRIDE + F.col("x.i")).alias("at"), F.col("x.seed").alias("seed"))
+    places = cut.select("*", F.explode(F.sequence(F.lit(0), F.least(F.size("part"), F.lit(STRIDE)) - 1)).alias("i"))
+    part, i = F.col("part"), F.col("i")
+    seeds = [F.when(i + len(mask) <= F.size(part), _hash(part, i, mask)) for mask in masks]
+    found = places.select(*keep, (F.col("stretch") * STRIDE + i).alias("at"), F.explode(F.array(*seeds)).alias("seed"))
+    return found.where(F.col("seed").isNotNull())
 
 
 def pieces(n: int, overlap: float) -> list[tuple[int, str]]:
