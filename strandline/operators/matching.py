@@ -28,7 +28,9 @@ def fuzzy_tokens(wanted: DataFrame, known: DataFrame, threshold: float = 0.88) -
     right = known.where(F.col("token") != "").distinct().select(F.col("token").alias("match"), F.length("token").alias("n"))
     bound = max(threshold, 0.01) / (2 - max(threshold, 0.01))
     size = F.length("token")
-    spread = left.withColumn("n", F.explode(F.sequence(F.greatest(F.ceil(size * bound - 1e-9), F.lit(1)).cast("int"), F.least(F.floor(size / bound + 1e-9), F.lit(10_000)).cast("int"))))
+    longest = F.broadcast(right.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest")))  # one row
+    low, high = F.greatest(F.ceil(size * bound - 1e-9), F.lit(1)).cast("int"), F.least(F.floor(size / bound + 1e-9), F.col("longest")).cast("int")
+    spread = left.crossJoin(longest).where(low <= high).withColumn("n", F.explode(F.sequence(low, high)))
     scored = spread.join(right, "n").select("token", "match", similarity("token", "match").alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("token").agg(F.max("score").alias("best"))
     return scored.join(best, "token").where(F.col("score") == F.col("best")).select("token", "match", "score")
