@@ -104,11 +104,11 @@ def _printed(bits: int, repeats: int):
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose parities don't rule out that they are similar enough."""
+    """The pairs whose sizes and parities don't rule out that they are similar enough."""
     p, q = SIMILAR
     for batch in batches:
         both = zip(batch.column("bits").to_pylist(), batch.column("other").to_pylist(), batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)
-        good = [(p + q) * least_apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (q - p) * (n + m) for x, y, n, m in both]
+        good = [q * min(n, m) >= p * max(n, m) and (p + q) * least_apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (q - p) * (n + m) for x, y, n, m in both]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -135,11 +135,12 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of signatures of unlike roots whose fingerprints differ within the budget; rows come ordered by subtrie."""
-    for c, at in simhash._by_subtrie(batches, ["side", "value", "depth", "sig", "root"]):
+    """Pairs of signatures of unlike roots whose fingerprints differ within the budget and whose sets are near enough in size; rows come ordered by subtrie."""
+    for c, at in simhash._by_subtrie(batches, ["side", "value", "depth", "sig", "root", "n"]):
         for d, f in simhash._nodes(c, at):
             for x, y in simhash.trie_pairs(c["value"].view(np.uint64), f, d, BUDGET, c["root"]):
-                a, b = c["sig"][x], c["sig"][y]
+                good = SIMILAR[1] * np.minimum(c["n"][x], c["n"][y]) >= SIMILAR[0] * np.maximum(c["n"][x], c["n"][y])
+                a, b = c["sig"][x[good]], c["sig"][y[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
@@ -176,8 +177,8 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = rows.join(stars, ["rep", "fp"]).where("sig <> a").select("a", F.col("sig").alias("b"))
     found = _verified(stars, named, classes)
     roots = written(connected_components(found), "roots")
-    rows = classes.join(roots, classes.sig == roots.node, "left").select("sig", F.coalesce("root", "sig").alias("root"), F.posexplode("fps").alias("rep", "fp"))
-    crossing = simhash.subtries(rows, bits, BUDGET, ["sig", "root"]).mapInArrow(_crossing, "a bigint, b bigint")
+    rows = classes.join(roots, classes.sig == roots.node, "left").select("sig", "n", F.coalesce("root", "sig").alias("root"), F.posexplode("fps").alias("rep", "fp"))
+    crossing = simhash.subtries(rows, bits, BUDGET, ["sig", "root", "n"]).mapInArrow(_crossing, "a bigint, b bigint")
     found = found.unionByName(_verified(crossing, named, classes))
     roots = connected_components(found)
     classes = classes.join(roots, classes.sig == roots.node, "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
