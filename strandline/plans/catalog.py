@@ -219,7 +219,16 @@ def assess_counts(spark, sf_dir):
     return Q.quality_counts(s, float(REF_MS)).crossJoin(Q.unique_counts(s).drop("n")).crossJoin(Q.referential_counts(s, {"equipment_id": allowed}))
 
 
-@query()
+_PARTS = {"completeness": ("complete", "n"), "consistency": ("consistent", "n"), "timeliness": ("timely", "n"), "validity": ("valid", "n"), "uniqueness": ("signatures", "n"), "referential_integrity": ("held", "checks"), "stability": ("stable", "checked")}
+ASSESSED = f"""WITH c AS ({_counts('', str(REF_MS), str(AGE_MS), DUPS)}), u AS (SELECT count(DISTINCT (equipment_id, timestamp_ms, value)) AS signatures FROM ({DUPS})),
+f AS (SELECT count_if(CAST(equipment_id AS BIGINT) % 10 <> 0) AS held, count(*) AS checks FROM ({DUPS})),
+v AS (SELECT equipment_id AS e, value AS v FROM ({DUPS}) WHERE value IS NOT NULL), m AS (SELECT e, median(v) AS m, count(*) AS k FROM v GROUP BY e), d AS (SELECT e, k, abs(v - m) AS d FROM v JOIN m USING (e)), w AS (SELECT e, median(d) AS mad FROM d GROUP BY e),
+s AS (SELECT count(*) AS checked, count_if(k < 3 OR d <= greatest(12 * mad, 1e-9)) AS stable FROM d JOIN w USING (e)),
+p AS (SELECT n, {', '.join(f'CASE WHEN {whole} = 0 THEN 100.0::DOUBLE ELSE round(100.0::DOUBLE * {part} / {whole}, 2) END AS {name}' for name, (part, whole) in _PARTS.items())}, checks AS referential_checks FROM c, u, f, s)
+SELECT *, round(({' + '.join(_PARTS)}) / 7, 2) AS overall, least({', '.join(_PARTS)}) AS minimum FROM p"""
+
+
+@query(ASSESSED)
 def assess_seven_dims(spark, sf_dir):
     allowed = table(spark, sf_dir, "events").select("user_id").where(F.col("user_id") % 10 != 0)
     return Q.assess(doubled(spark, sf_dir), {"equipment_id": allowed}, float(REF_MS), float(AGE_MS))
