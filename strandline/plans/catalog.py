@@ -18,7 +18,7 @@ from strandline.operators import store as S
 from strandline.operators import truth as T
 from strandline.operators import windows as W
 from strandline.operators.matching import fuzzy_tokens, match_schemas
-from strandline.session import shared_dir, table
+from strandline.session import shared_dir, table, written
 from strandline.sources.text import parse_payloads
 from strandline.streaming import ingest
 
@@ -427,14 +427,18 @@ def relation_text_roundtrip(spark, sf_dir):
 @query("SELECT event_id, value FROM events WHERE value BETWEEN 10 AND 12")
 def zone_map_range_filter(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value").withColumn("unit", F.lit("all"))
-    packed = frames.compress(e, "unit", "event_id", "value", ["reorder", "raw"], block=512)
+    packed = written(frames.compress(e, "unit", "event_id", "value", ["reorder", "raw"], block=512), "blocks")  # bounds prune what is read
     return frames.range_filter(packed, 10.0, 12.0).select((F.col("block") * 512 + F.col("i")).alias("event_id"), "value")
 
 
+#: Rows that a payload holds at most, so a unit of any length spreads over tasks.
+BLOCK = 1 << 16
+
+
 def _codec_ok(spark, sf_dir, codec, tolerance, exact=False):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("unit"), F.rint("value").alias("whole"), "value")
     column = "whole" if exact == "whole" else "value"
-    made = frames.evaluate(e, "unit", "event_id", column, codec, tolerance, block=1 << 40 if exact != "block" else 1024)
+    made = frames.evaluate(e, "unit", "event_id", column, codec, tolerance, block=BLOCK)
     good = F.bool_and("exact") if exact else F.max("max_error") <= tolerance + 1e-9
     return made.groupBy("unit").agg(F.sum("n").alias("n"), good.alias("ok"))
 
@@ -500,7 +504,7 @@ def adaptive_codec_choice(spark, sf_dir):
 @query("SELECT user_id AS unit, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM events GROUP BY 1")
 def binary_channel_roundtrip(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") == "error").cast("double").alias("v"))
-    packed = frames.compress(e, "user_id", "event_id", "v", ["binary"], block=1 << 40)
+    packed = frames.compress(e, "user_id", "event_id", "v", ["binary"], block=BLOCK)
     return frames.decompress(packed).groupBy("unit").agg(F.sum("value").cast("long").alias("ones"))
 
 
