@@ -19,6 +19,8 @@ from strandline.session import written
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Bits in which two fingerprints of a pair that is compared may differ; the share of pairs just as similar as SIMILAR that no fingerprint may find.
 BUDGET, MISS = 3, 0.01
+#: Longs of a set's parities that its fingerprints carry, so that pairs are ruled out where they meet.
+MARKS = 4
 #: Signatures that are broadcast to the texts (about 20 MB); for more the texts are shuffled.
 BROADCAST = 500_000
 
@@ -59,6 +61,12 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(on.astype(bool), bitorder="little")
 
 
+def marks(found: np.ndarray) -> np.ndarray:
+    """Parities on MARKS * 64 bits, whatever the size of the set, as longs."""
+    on = np.bincount(((found >> np.uint64(20)) & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(on.astype(bool), bitorder="little").view(np.int64)
+
+
 def least_apart(x: np.ndarray, y: np.ndarray) -> int:
     """So many hashes at least are in just one of the sets with these parities."""
     while len(x) > len(y):
@@ -83,21 +91,23 @@ def fingerprints(found: np.ndarray, bits: int, repeats: int) -> np.ndarray:
 
 
 def _printed(bits: int, repeats: int):
-    """(doc_id, t, sig, n, bits, fps) of each text: the signature of its set, the set's size, its parities and its fingerprints."""
+    """(doc_id, t, sig, n, bits, marks, fps) of each text: the signature of its set, the set's size, its parities, those on few bits and its fingerprints."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sizes, parity, fps = [], [], [], []
+            sigs, sizes, parity, few, fps = [], [], [], [], []
             for text in batch.column("text").cast(pa.large_binary()):
                 found = shingles(text.as_py())
                 sigs.append(_signature(found))
                 sizes.append(len(found))
                 parity.append(parities(found).tobytes())
+                few.append(marks(found))
                 fps.append(fingerprints(found, bits, repeats))
             flat = np.concatenate([np.empty(0, np.uint64), *fps]).view(np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * repeats), pa.array(flat))
+            marked = pa.ListArray.from_arrays(pa.array(np.arange(len(few) + 1, dtype=np.int32) * MARKS), pa.array(np.concatenate([np.empty(0, np.int64), *few])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("t"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), listed], ["doc_id", "t", "sig", "n", "bits", "fps"]
+                [batch.column("doc_id"), batch.column("t"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), marked, listed], ["doc_id", "t", "sig", "n", "bits", "marks", "fps"]
             )
 
     return made
@@ -135,11 +145,18 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of signatures of unlike roots whose fingerprints differ within the budget and whose sets are near enough in size; rows come ordered by subtrie."""
-    for c, at in simhash._by_subtrie(batches, ["side", "value", "depth", "sig", "root", "n"]):
+    """Pairs of signatures of unlike roots whose fingerprints differ within the budget and which sizes and parities on few bits don't rule out; rows come ordered by subtrie.
+
+    In a group of texts that are alike, but less than SIMILAR, nearly all pairs of fingerprints come here; parities leave few of them.
+    """
+    p, q = SIMILAR
+    few = [f"m{i}" for i in range(MARKS)]
+    for c, at in simhash._by_subtrie(batches, ["side", "value", "depth", "sig", "root", "n", *few]):
         for d, f in simhash._nodes(c, at):
             for x, y in simhash.trie_pairs(c["value"].view(np.uint64), f, d, BUDGET, c["root"]):
-                good = SIMILAR[1] * np.minimum(c["n"][x], c["n"][y]) >= SIMILAR[0] * np.maximum(c["n"][x], c["n"][y])
+                n, m = c["n"][x], c["n"][y]
+                apart = sum(np.bitwise_count((c[k][x] ^ c[k][y]).view(np.uint64)).astype(np.int64) for k in few)
+                good = (q * np.minimum(n, m) >= p * np.maximum(n, m)) & ((p + q) * apart <= (q - p) * (n + m))
                 a, b = c["sig"][x[good]], c["sig"][y[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -168,17 +185,18 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits, repeats = widths(docs.count())
     named = _named(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(named.mapInArrow(_printed(bits, repeats), f"doc_id {kind}, t bigint, sig bigint, n int, bits binary, fps array<bigint>"), "signatures")
+    prints = written(named.mapInArrow(_printed(bits, repeats), f"doc_id {kind}, t bigint, sig bigint, n int, bits binary, marks array<bigint>, fps array<bigint>"), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")
-    classes = prints.groupBy("sig").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("fps").alias("fps"))
+    classes = prints.groupBy("sig").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("marks").alias("marks"), F.max("fps").alias("fps"))
     classes = written(classes, "classes")
     rows = classes.select("sig", F.posexplode("fps").alias("rep", "fp"))
     stars = rows.groupBy("rep", "fp").agg(F.min("sig").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
     stars = rows.join(stars, ["rep", "fp"]).where("sig <> a").select("a", F.col("sig").alias("b"))
     found = _verified(stars, named, classes)
     roots = written(connected_components(found), "roots")
-    rows = classes.join(roots, classes.sig == roots.node, "left").select("sig", "n", F.coalesce("root", "sig").alias("root"), F.posexplode("fps").alias("rep", "fp"))
-    crossing = simhash.subtries(rows, bits, BUDGET, ["sig", "root", "n"]).mapInArrow(_crossing, "a bigint, b bigint")
+    few = [F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)]
+    rows = classes.join(roots, classes.sig == roots.node, "left").select("sig", "n", F.coalesce("root", "sig").alias("root"), *few, F.posexplode("fps").alias("rep", "fp"))
+    crossing = simhash.subtries(rows, bits, BUDGET, ["sig", "root", "n", *[f"m{i}" for i in range(MARKS)]]).mapInArrow(_crossing, "a bigint, b bigint")
     found = found.unionByName(_verified(crossing, named, classes))
     roots = connected_components(found)
     classes = classes.join(roots, classes.sig == roots.node, "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
@@ -192,7 +210,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     in at most BUDGET bits, which misses at most a share MISS of the least similar links; component_id is the smallest doc_id
     that links reach, null if no row of the component has one. Texts without words, null ones too, are alike; repeated rows each give a row;
     long texts are read whole. Texts whose fingerprints agree are compared with the first of them; then
-    tries are walked for pairs that still lie in different components, so a group of n near copies takes about n comparisons.
+    tries are walked for pairs that still lie in different components and that parities don't rule out, which give a pair's least distance and so hide no link.
     """
     prints, classes = _rooted(docs)
     least = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))

@@ -97,3 +97,16 @@ def test_stage_on_documents(spark):
     roots = brute_roots(rows)
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).select("doc_id").collect()}
     assert got == {d for d in roots if d == roots[d]} and not {56, 255, 770, 875, 944} & got
+
+
+def test_texts_that_are_less_alike_make_few_pairs(spark, monkeypatch):
+    """200 texts of which each pair has two thirds of its shingles in common: nearly all meet in a trie, few are handed on; copies among them are found."""
+    rng = random.Random(11)
+    passage = " ".join(f"w{rng.randrange(9999)}" for _ in range(100))
+    own = [" ".join(f"v{rng.randrange(9999)}" for _ in range(20)) for _ in range(200)]
+    rows = [(i, f"{passage} {x}") for i, x in enumerate(own)] + [(500 + i, f"{passage} {own[i]} end{i}") for i in range(20)]
+    given, verified = [], copies._verified
+    monkeypatch.setattr(copies, "_verified", lambda pairs, *more: given.append(pairs.count()) or verified(pairs, *more))
+    got = {r.doc_id: r.component_id for r in copies.near_copies(brute.frame(spark, [(d, t, "en", "s") for d, t in rows])).collect()}
+    assert got == brute_roots(rows) == {d: d % 500 for d, _ in rows}
+    assert sum(given) < 5000, given
