@@ -207,7 +207,7 @@ SIGNATURES: list[tuple[int, str, str, str]] = [
 ALONE = (3, "{n}")
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.5}
 
-#: Texts without any of these hold no signature: words of names and forms, and how the other forms begin.
+#: Of the texts that hold a gate word those without any of these hold no signature: words of names and forms, and how the other forms begin.
 PREFILTER = (
     "(?i)licen[sc]|spdx|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|cc0|wtfpl|attribution|bsd|cc[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+by"
     "|hereby|redistribut|copyright|gpl|gfdl|eupl|(?<![a-z])(?:mpl|epl|asl|perl|psf|sil)(?![a-z])|mplv2|0bsd|zero|apache|disclaim|advertis|endorse|misrepresent|plainly|unencumbered|anyone|dedicat|openssl|openfont|unauthori|reproduced|confidential|(?:permission|consent)|commons|evil|mulan|nasa|boost|warrant|to[^0-9a-z]+the[^0-9a-z]+extent"
@@ -234,6 +234,12 @@ def rules() -> list[Rule]:
     return sorted(made, key=lambda r: r.priority)
 
 
+def _gates(table: list[Rule]) -> list[str]:
+    """The words of which a text holds one if it holds a signature or a base phrase."""
+    found = {w for r in table for w in r.gate.split("|")}
+    return sorted(found.union(*[phrase.split() for phrase in BASE if not found & set(phrase.split())]))
+
+
 def _word_spans(norm: Column, rule: Column) -> Column:
     """Detections of a rule in ' w0 w1 ... ': (first word, minus the end, priority, order, label)."""
     hits = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
@@ -278,19 +284,22 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs.
 
     Words are runs of digits, a-z and non-ASCII of the text with A-Z lowered; null counts as empty.
-    The base places count wherever the phrases stand; they stay whatever the rules say. Texts with a
-    keyword are tried against the rules whose own gate word they hold; labels of detections that aren't
+    The base places count wherever the phrases stand; they stay whatever the rules say. Texts that hold a gate word, looked up
+    among their words, and then a keyword are tried against the rules whose own gate word they hold; labels of detections that aren't
     contained in one of the same or a higher priority (by words, the earlier rule where equal) are added. score is
     the confidence of the best of them. All is done row by row: no shuffle, repeated rows repeat.
     """
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*[F.lit(f" {w} ") for w in r.gate.split("|")]).alias("gate"), F.lit(r.pattern).alias("pattern"), F.lit(i).alias("n")) for i, r in enumerate(rules())])
+    every = rules()
+    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*[F.lit(w) for w in r.gate.split("|")]).alias("gate"), F.lit(r.pattern).alias("pattern"), F.lit(i).alias("n")) for i, r in enumerate(every)])
     raw = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.split(raw, _GAP_ANY_CASE, -1)
+    pieces = F.split(lower_ascii(raw), _GAP, -1)
     count = F.size(pieces) - (F.element_at(pieces, 1) == "").cast("int") - (F.element_at(pieces, -1) == "").cast("int")
     n_words = F.greatest(F.when(raw == "", F.lit(0)).otherwise(count), F.lit(0)).cast("long")
-    norm = F.when(raw.rlike(PREFILTER), F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_ascii(raw), _GAP, " ")), F.lit(" ")))
-    first = docs.select("doc_id", n_words.alias("n_words"), norm.alias("norm"))
-    gated = F.filter(table, lambda r: F.exists(r["gate"], lambda w: F.contains(F.col("norm"), w)))
+    held = F.array_intersect(F.array(*[F.lit(w) for w in _gates(every)]), pieces)
+    worded = docs.select("doc_id", "text", n_words.alias("n_words"), held.alias("held"))
+    norm = F.when((F.size("held") > 0) & raw.rlike(PREFILTER), F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_ascii(raw), _GAP, " ")), F.lit(" ")))
+    first = worded.select("doc_id", "n_words", "held", norm.alias("norm"))
+    gated = F.filter(table, lambda r: F.arrays_overlap(r["gate"], F.col("held")))
     found = F.when(F.col("norm").isNotNull(), F.flatten(F.transform(gated, lambda r: _word_spans(F.col("norm"), r))))
     places = []
     for phrase, label in BASE.items():

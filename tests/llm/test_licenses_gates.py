@@ -85,3 +85,16 @@ def test_labels_against_brute_force(spark):
         assert set(filter(None, got[i].labels.split(","))) == base | {x[4] for x in stays}, text
         best = min([x[2] for x in stays] + ([2] if base else []), default=None)
         assert got[i].score == (licenses.CONFIDENCE[best] if best else 0.0), text
+
+
+def test_gate_words_come_before_the_keywords(spark, monkeypatch):
+    """Keywords are searched in texts with a gate word only: here there are none, so a pattern that matches everything changes nothing."""
+    texts = ["the copyright of nothing", "warranted and dedicated", "plain words", "", "under the mit license"]
+    docs = brute.frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    usual = sorted(tuple(r) for r in licenses.scan(docs).collect())
+    asked = licenses.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in asked
+    monkeypatch.setattr(licenses, "PREFILTER", "")
+    assert sorted(tuple(r) for r in licenses.scan(docs).collect()) == usual
+    assert {w for r in licenses.rules() for w in r.gate.split("|")} <= set(licenses._gates(licenses.rules()))
+    assert {"under", "the", "mit", "license"} <= set(licenses._gates([]))
