@@ -19,6 +19,8 @@ from strandline.session import written
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Bits in which two fingerprints of a pair that is compared may differ; the share of pairs just as similar as SIMILAR that no fingerprint may find.
 BUDGET, MISS = 3, 0.01
+#: Fingerprints of a text whose tries are walked first, for pairs that connect most of what is alike; then all are, for pairs of what is still apart.
+FIRST = 2
 #: Longs of a set's parities that its fingerprints carry, so that pairs are ruled out where they meet.
 MARKS = 4
 #: Signatures that are broadcast to the texts (about 20 MB); for more the texts are shuffled.
@@ -144,21 +146,55 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs of items (x, y) connect, without a circle, all that the pairs connect; the classes they join get one label, the smallest."""
+    chosen, live = [], np.flatnonzero(label[x] != label[y])
+    while len(live):
+        a, b = label[x[live]], label[y[live]]
+        high, first = np.unique(np.maximum(a, b), return_index=True)  # each joins a smaller one
+        chosen.append(live[first])
+        to = np.arange(label.max() + 1)
+        to[high] = np.minimum(a, b)[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label[:] = to[label]
+        live = live[label[x[live]] != label[y[live]]]
+    return np.concatenate(chosen) if chosen else live
+
+
+def _crossing(bits: int, forest: bool):
     """Pairs of signatures of unlike roots whose fingerprints differ within the budget and which sizes and parities on few bits don't rule out; rows come ordered by subtrie.
 
     In a group of texts that are alike, but less than SIMILAR, nearly all pairs of fingerprints come here; parities leave few of them.
+    A pair that agrees on several runs is given by the first. With forest a chunk gives just pairs that connect what its pairs connect, fewer than its rows.
     """
     p, q = SIMILAR
     few = [f"m{i}" for i in range(MARKS)]
-    for c, at in simhash._by_subtrie(batches, ["side", "value", "depth", "sig", "root", "n", *few]):
-        for d, f in simhash._nodes(c, at):
-            for x, y in simhash.trie_pairs(c["value"].view(np.uint64), f, d, BUDGET, c["root"]):
-                n, m = c["n"][x], c["n"][y]
-                apart = sum(np.bitwise_count((c[k][x] ^ c[k][y]).view(np.uint64)).astype(np.int64) for k in few)
-                good = (q * np.minimum(n, m) >= p * np.maximum(n, m)) & ((p + q) * apart <= (q - p) * (n + m))
-                a, b = c["sig"][x[good]], c["sig"][y[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    blocks = simhash._blocks(bits, BUDGET)
+    masks = [[((1 << m) - 1) << (64 - bits + a - s - m) for s, m in blocks[:i]] for i, (a, _) in enumerate(blocks)]  # where the runs before a run lie once it has been turned to the front
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, at in simhash._by_subtrie(batches, ["side", "value", "depth", "sig", "root", "n", *few]):
+            values, run = c["value"].view(np.uint64), c["run"]
+            label = np.unique(c["root"], return_inverse=True)[1]
+            for d, f in simhash._nodes(c, at):
+                for x, y in simhash.trie_pairs(values, f, d, BUDGET, label):
+                    n, m = c["n"][x], c["n"][y]
+                    apart = sum(np.bitwise_count((c[k][x] ^ c[k][y]).view(np.uint64)).astype(np.int64) for k in few)
+                    good = (q * np.minimum(n, m) >= p * np.maximum(n, m)) & ((p + q) * apart <= (q - p) * (n + m))
+                    x, y = x[good], y[good]
+                    new = np.ones(len(x), bool)
+                    for i, before in enumerate(masks):
+                        for mask in before:
+                            new &= (run[x] != i) | (((values[x] ^ values[y]) & np.uint64(mask)) != 0)
+                    x, y = x[new], y[new]
+                    if forest:
+                        chosen = _forest(label, x, y)
+                        x, y = x[chosen], y[chosen]
+                    a, b = c["sig"][x], c["sig"][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return walk
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -193,11 +229,13 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = rows.groupBy("rep", "fp").agg(F.min("sig").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
     stars = rows.join(stars, ["rep", "fp"]).where("sig <> a").select("a", F.col("sig").alias("b"))
     found = _verified(stars, named, classes)
-    roots = written(connected_components(found), "roots")
     few = [F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)]
-    rows = classes.join(roots, classes.sig == roots.node, "left").select("sig", "n", F.coalesce("root", "sig").alias("root"), *few, F.posexplode("fps").alias("rep", "fp"))
-    crossing = simhash.subtries(rows, bits, BUDGET, ["sig", "root", "n", *[f"m{i}" for i in range(MARKS)]]).mapInArrow(_crossing, "a bigint, b bigint")
-    found = found.unionByName(_verified(crossing, named, classes))
+    whole = F.col("fps")
+    for fps in (F.slice("fps", 1, FIRST), whole):
+        roots = written(connected_components(found), "roots")
+        rows = classes.join(roots, classes.sig == roots.node, "left").select("sig", "n", F.coalesce("root", "sig").alias("root"), *few, F.posexplode(fps).alias("rep", "fp"))
+        crossing = simhash.subtries(rows, bits, BUDGET, ["sig", "root", "n", *[f"m{i}" for i in range(MARKS)]]).mapInArrow(_crossing(bits, fps is not whole), "a bigint, b bigint")
+        found = written(found.unionByName(_verified(crossing, named, classes)), "found")
     roots = connected_components(found)
     classes = classes.join(roots, classes.sig == roots.node, "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
     return prints.select("doc_id", "t", "sig"), classes
@@ -210,7 +248,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     in at most BUDGET bits, which misses at most a share MISS of the least similar links; component_id is the smallest doc_id
     that links reach, null if no row of the component has one. Texts without words, null ones too, are alike; repeated rows each give a row;
     long texts are read whole. Texts whose fingerprints agree are compared with the first of them; then
-    tries are walked for pairs that still lie in different components and that parities don't rule out, which give a pair's least distance and so hide no link.
+    tries are walked for pairs that still lie in different components and that parities don't rule out, which give a pair's least distance and so hide no link:
+    those of FIRST fingerprints for a forest of such pairs, of which the similar ones connect most of a group, then all of them for every pair that is left.
     """
     prints, classes = _rooted(docs)
     least = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))

@@ -7,6 +7,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from strandline.llm import copies, simhash
 from strandline.session import table
@@ -110,3 +111,41 @@ def test_texts_that_are_less_alike_make_few_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in copies.near_copies(brute.frame(spark, [(d, t, "en", "s") for d, t in rows])).collect()}
     assert got == brute_roots(rows) == {d: d % 500 for d, _ in rows}
     assert sum(given) < 5000, given
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """200 texts of which all 19,900 pairs are similar and few fingerprints, of 40 bits here, are equal: what is handed on grows with the texts, not with the pairs."""
+    rng = random.Random(12)
+    base, rows = [f"w{rng.randrange(99999)}" for _ in range(300)], []
+    for i in range(200):
+        copy = list(base)
+        for k in rng.sample(range(5, 295), 3):
+            copy[k] = f"v{rng.randrange(99999)}"
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(copies, "widths", lambda texts: (40, 20))
+    given, verified = [], copies._verified
+    monkeypatch.setattr(copies, "_verified", lambda pairs, *more: given.append(pairs.count()) or verified(pairs, *more))
+    got = {r.doc_id: r.component_id for r in copies.near_copies(brute.frame(spark, [(d, t, "en", "s") for d, t in rows])).collect()}
+    assert got == brute_roots(rows) == dict.fromkeys(range(200), 0)
+    assert sum(given) < 10 * 200, given
+
+
+def test_a_pair_is_given_once_for_a_fingerprint():
+    """Of the runs on which two fingerprints agree the first gives the pair, and each pair within the budget is given."""
+    rng = random.Random(13)
+    bits = 30
+    fps = [rng.getrandbits(bits) for _ in range(20)]
+    fps += [f ^ sum(1 << i for i in rng.sample(range(bits), rng.randrange(4))) for f in fps for _ in range(3)]
+    rows = []
+    for i, f in enumerate(fps):
+        for run, (start, length) in enumerate(simhash._blocks(bits, copies.BUDGET)):
+            turned = ((f << start) | (f >> (bits - start))) & ((1 << bits) - 1)
+            rows.append((0, run, turned >> (bits - length), 0, 0, 0, turned << (64 - bits), length, i, i, 9, *[0] * copies.MARKS))
+    names = ["rep", "run", "prefix", "low", "high", "side", "value", "depth", "sig", "root", "n", *[f"m{i}" for i in range(copies.MARKS)]]
+    rows.sort(key=lambda r: r[:7])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*rows, strict=True)], names)
+    got = [(r["a"], r["b"]) for b in copies._crossing(bits, False)(iter([batch])) for r in b.to_pylist()]
+    right = {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= copies.BUDGET}
+    assert len(got) == len(set(got)) and set(got) == right
+    forest = [(r["a"], r["b"]) for b in copies._crossing(bits, True)(iter([batch])) for r in b.to_pylist()]
+    assert set(forest) <= right and brute.components(forest, range(len(fps))) == brute.components(right, range(len(fps))) and len(forest) == len(fps) - len(set(brute.components(right, range(len(fps))).values()))
