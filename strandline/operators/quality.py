@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.values import is_finite, parsed, pct
+from strandline.operators.scan import RANGE, ranged
 
 REQUIRED = ("timestamp_ms", "equipment_id", "value")
 LOW, HIGH = -1e6, 1e6
-#: Parts into which the rows of an equipment go that have nothing to compare.
-SALTS = 1024
 DIMENSIONS = ("completeness", "consistency", "timeliness", "validity")
 
 
@@ -30,6 +29,9 @@ def quality_counts(df: DataFrame, reference_ms: Column | float, max_age_ms: Colu
     consistent: rows whose time isn't before that of the row just before, in `order`, of the same equipment; rows without a
     number for time or value, or a time that isn't finite and positive, neither count nor become one to compare with.
     Null equipment isn't valid and is an equipment of its own to compare. Without groups an empty input gives one row of zeros.
+
+    Rows lie in ranges of (group, equipment, order), so one equipment may hold all of them: each range counts and tells its first
+    and last time, and only those, a row for each range and equipment, meet to compare across borders.
     """
     kinds = dict(df.dtypes)
     column = lambda n: parsed(F.col(n), kinds[n]) if n in kinds else F.lit(None).cast("double")
@@ -37,18 +39,25 @@ def quality_counts(df: DataFrame, reference_ms: Column | float, max_age_ms: Colu
     rows = df.select(*by, F.col(order).alias("_o"), name.alias("_e"), column("timestamp_ms").alias("_t"), column("value").alias("_v"), reduce(Column.__and__, [present(df, c) for c in REQUIRED]).alias("_c"), (F.lit(reference_ms) if not isinstance(reference_ms, Column) else reference_ms).alias("_r"), (F.lit(max_age_ms) if not isinstance(max_age_ms, Column) else max_age_ms).alias("_a"))
     timed = is_finite(F.col("_t")) & (F.col("_t") > 0)
     counted = F.col("_v").isNotNull() & F.col("_t").isNotNull() & timed
-    rows = rows.withColumn("_k", F.coalesce(counted, F.lit(False)))
-    apart = F.when(F.col("_k"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("_o"), F.lit(SALTS)).cast("int"))  # what isn't compared may lie anywhere
-    before = F.lag("_t").over(Window.partitionBy(*by, "_e", apart).orderBy("_o"))
+    rows = ranged(rows.withColumn("_k", F.coalesce(counted, F.lit(False))), [*by, "_e"], ["_o"])
+    told = F.when(F.col("_k"), F.col("_t"))
+    before = F.last(told, ignorenulls=True).over(Window.partitionBy(RANGE, *by, "_e").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_p", before)
     age = F.col("_r") - F.col("_t")
-    return rows.groupBy(*by).agg(
+    ends = rows.groupBy(RANGE, *by, "_e").agg(
         F.count("*").alias("n"),
         F.count_if("_c").alias("complete"),
         F.count_if(F.col("_k") & (F.col("_p").isNull() | (F.col("_t") >= F.col("_p")))).alias("consistent"),
         F.count_if(F.col("_k") & (age >= 0) & (age <= F.col("_a"))).alias("timely"),
         F.count_if((F.col("_e") != "") & is_finite(F.col("_v")) & (F.col("_v") >= LOW) & (F.col("_v") <= HIGH) & timed).alias("valid"),
+        F.min_by("_t", F.when(F.col("_k"), F.col("_o"))).alias("_first"),
+        F.max_by("_t", F.when(F.col("_k"), F.col("_o"))).alias("_last"),
     )
+    # the first row of a range counted as one with nothing before it; the end of the range before may say otherwise
+    handed = F.last("_last", ignorenulls=True).over(Window.partitionBy(*by, "_e").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("_h", handed).withColumn("consistent", F.col("consistent") - F.coalesce((F.col("_first") < F.col("_h")).cast("long"), F.lit(0)))
+    zero = lambda c: F.sum(c) if by else F.coalesce(F.sum(c), F.lit(0))
+    return ends.groupBy(*by).agg(*[zero(c).cast("long").alias(c) for c in ("n", "complete", "consistent", "timely", "valid")])
 
 
 def as_dimensions(counts: DataFrame) -> DataFrame:

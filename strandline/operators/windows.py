@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.values import is_finite, parsed
 from strandline.operators.quality import as_dimensions, quality_counts
+from strandline.operators.scan import lagged, running_twice
 
 
 def window_quality(df: DataFrame, window_ms: float = 60_000.0, order: str = "source_index", counts: bool = False) -> DataFrame:
@@ -43,20 +44,17 @@ def blocks(df: DataFrame, row: str, size: int) -> DataFrame:
     return df.withColumn("block", F.floor(F.col(row) / size))
 
 
-def differences(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
-    """First and second differences along the order, of groups; null where there is none."""
-    w = Window.partitionBy(*by).orderBy(order)
-    first = F.col(value) - F.lag(value).over(w)
-    out = df.withColumn("d1", first)
-    return out.withColumn("d2", F.col("d1") - F.lag("d1").over(w))
+def differences(df: DataFrame, value: str, order: str, by: list[str], parts: int | None = None) -> DataFrame:
+    """df with d1 and d2, first and second differences along the order, of groups; null where there is none. One group may lie in many tasks."""
+    made = lagged(df, F.col(value), by, [order], 2, parts, "_lag")
+    d1, before = F.col(value) - F.col("_lag1"), F.col("_lag1") - F.col("_lag2")
+    return made.withColumn("d1", d1).withColumn("d2", F.col("d1") - before).drop("_lag1", "_lag2")
 
 
-def undifferenced(df: DataFrame, order: str, by: list[str], out: str = "rebuilt") -> DataFrame:
-    """Values from second differences: `start` and `slope` of the group's first two rows, `d2` of the rest."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    slope = F.sum(F.coalesce("slope", F.lit(0)) + F.coalesce("d2", F.lit(0))).over(w)
-    df = df.withColumn("_d1", slope)
-    return df.withColumn(out, F.sum(F.coalesce("start", F.lit(0)) + F.col("_d1")).over(w)).drop("_d1")
+def undifferenced(df: DataFrame, order: str, by: list[str], out: str = "rebuilt", parts: int | None = None) -> DataFrame:
+    """Values from second differences: `start` and `slope` of the group's first two rows, `d2` of the rest. One group may lie in many tasks."""
+    slope = F.coalesce("slope", F.lit(0)) + F.coalesce("d2", F.lit(0))
+    return running_twice(df, F.col("start"), slope, by, [order], out, parts)
 
 
 def subset(df: DataFrame, ranges: list[tuple[int, int]], windows: DataFrame, row: str = "source_row", t: str = "timestamp_ms", margin_ms: int = 1_800_000) -> DataFrame:
