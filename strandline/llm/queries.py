@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, language, licenses, mixing, neighbours, oracles, passages, secrets, simhash, toxicity, urls
+from strandline.llm import decontaminate, language, licenses, mixing, neighbours, oracles, packing, passages, secrets, simhash, toxicity, urls
 from strandline.session import table
 
 
@@ -50,6 +50,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_neighbours": op6_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op11_packing": op11_packing,
 }
 
 #: The other methods hash by XXH64, learn or draw, which SQL doesn't; tests hold them against brute force.

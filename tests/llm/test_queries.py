@@ -23,6 +23,7 @@ WANTED = {
     "op7_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op8_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9_passages": {"doc_id": "bigint", "class_id": "bigint", "links": "bigint"},
+    "op11_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
     "op10_urls": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
 }
 
