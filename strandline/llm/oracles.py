@@ -49,3 +49,25 @@ NEIGHBOURS = """WITH v AS (SELECT vec_id, CAST(min(embedding) AS DOUBLE[]) AS e
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), lambda a, b: a + b) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
+def _round(i: int) -> str:
+    """Centroids after round i + 1 from those before, by assignment of every vector."""
+    mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    return f"""a{i} AS MATERIALIZED ({_assigned(i)}),
+m{i} AS (SELECT c, j, sum(CAST(v[j] AS HUGEINT)) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY c, j),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(t.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list({mean} ORDER BY j) AS v FROM m{i} GROUP BY c) t ON t.c = c{i}.c)"""
+
+
+def _assigned(i: int) -> str:
+    d = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT row, first(vec_id) AS vec_id, first(v) AS v, first(c ORDER BY d, c) AS c, min(d) AS d FROM (SELECT k.row, k.vec_id, k.v, c.c, CAST({d} AS BIGINT) AS d FROM k, c{i} c) GROUP BY row"
+
+
+#: All centroids against all vectors, three rounds and once more.
+CENTROIDS = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM k WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)),
+{", ".join(_round(i) for i in range(3))},
+a3 AS MATERIALIZED ({_assigned(3)}), s AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY c)
+SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, d AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a3) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN s ON s.c = a3.c JOIN c3 ON c3.c = a3.c"""

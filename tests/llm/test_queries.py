@@ -10,6 +10,7 @@ import pytest
 from strandline.llm import queries, urls
 from strandline.session import table
 
+from ..compare import compare, connection
 from . import brute
 
 SF = "/root/testdata/sf0.001"
@@ -24,6 +25,7 @@ WANTED = {
     "op8_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9_passages": {"doc_id": "bigint", "class_id": "bigint", "links": "bigint"},
     "op11_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op12_centroids": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
     "op10_urls": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
 }
 
@@ -63,6 +65,11 @@ def op10(rows, spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or "allow")
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    compare(spark, connection(SF), SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
 @pytest.mark.parametrize("name", sorted(WANTED))
 def test_query(spark, texts, name):
     df = queries.QUERIES[name](spark, SF)
