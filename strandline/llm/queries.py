@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import centroids, decontaminate, language, licenses, mixing, neighbours, oracles, packing, passages, secrets, simhash, toxicity, urls
+from strandline.llm import centroids, decontaminate, language, licenses, mixing, negatives, neighbours, oracles, packing, passages, secrets, simhash, toxicity, urls
 from strandline.session import table
 
 
@@ -58,6 +58,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("measured")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op11_packing": op11_packing,
     "op12_centroids": op12_centroids,
+    "op13_negatives": op13_negatives,
 }
 
 #: The other methods hash by XXH64, learn or draw, which SQL doesn't; tests hold them against brute force.
@@ -78,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_neighbours": oracles.NEIGHBOURS,
     "op10_urls": oracles.urls(urls.RULES),
     "op12_centroids": oracles.CENTROIDS,
+    "op13_negatives": oracles.NEGATIVES,
 }
