@@ -87,11 +87,6 @@ def quantized(x: Column, tolerance: float) -> Column:
     return F.rint(x / (2 * tolerance)).cast("long")
 
 
-def upper_median(x: Column) -> Column:
-    """The element in the middle, the higher of two, of a group's non-null values; groups must fit a task."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)
-
-
 def private_name(text: str, fallback: str = "data", limit: int = 80) -> str:
     """A name safe for files: letters, digits, _ . - only, without dots or dashes at its ends."""
     made = "".join(c if c.isalnum() or c in "_.-" else "_" for c in text.strip()).strip(".-")

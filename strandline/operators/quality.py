@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.values import is_finite, parsed, pct
 from strandline.operators.scan import RANGE, ranged
+from strandline.operators.selection import median, middles
 
 REQUIRED = ("timestamp_ms", "equipment_id", "value")
 LOW, HIGH = -1e6, 1e6
@@ -98,18 +99,26 @@ def referential_violations(df: DataFrame, name: str, allowed: DataFrame) -> Data
 
 
 def stability_counts(df: DataFrame, by: tuple[str, ...] = (), factor: float = 12.0) -> DataFrame:
-    """checked and stable values: within `factor` median absolute deviations of the equipment's median; groups under three are stable."""
+    """checked and stable values: within `factor` median absolute deviations of the equipment's median; groups under three are stable.
+
+    Both medians are exact, and one equipment may hold all rows (`selection.middles`).
+    """
     value = parsed(F.col("value"), dict(df.dtypes)["value"])
     rows = df.select(*by, F.coalesce(F.col("equipment_id").cast("string"), F.lit("")).alias("_e"), value.alias("_v")).where(is_finite(F.col("_v")))
     keys = [*by, "_e"]
-    centre = rows.groupBy(*keys).agg(F.median("_v").alias("_m"), F.count("*").alias("_n"))
-    rows = rows.join(centre, keys).withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
-    spread = rows.groupBy(*keys).agg(F.median("_d").alias("_s"))
-    rows = rows.join(spread, keys)
+    rows = _beside(rows, middles(rows, F.col("_v"), keys), keys, "_m").withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
+    rows = _beside(rows.withColumnRenamed("n", "_n"), middles(rows, F.col("_d"), keys), keys, "_s")
     good = (F.col("_n") < 3) | (F.col("_d") <= F.greatest(factor * F.col("_s"), F.lit(1e-9)))
     return rows.groupBy(*by).agg(F.count("*").alias("checked"), F.count_if(good).alias("stable"))
 
 
+def _beside(rows: DataFrame, found: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """rows with n and the median of their key."""
+    told = found.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "n", median(F.col("lower"), F.col("upper")).alias(out))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
+    return rows.join(told, same).drop(*[f"_t{i}" for i in range(len(keys))])
+
+
 def assess(df: DataFrame, master: dict[str, DataFrame], reference_ms: float, max_age_ms: float = 900_000.0, order: str = "source_index") -> DataFrame:
     """One row: seven dimensions in percent, their mean (overall) and minimum, and the number of referential checks; all 0 of nothing."""
     base = as_dimensions(quality_counts(df, reference_ms, max_age_ms, order=order))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.values import quoted, upper_median
+from strandline.functions.values import quoted
+from strandline.operators.selection import median, middles
 
 
 def as_cells(df: DataFrame, key: str, value: str = "val") -> DataFrame:
@@ -47,11 +48,23 @@ def array_cells(df: DataFrame, values: str, length: int) -> DataFrame:
 
 
 def throughput(df: DataFrame, rate: str, by: list[str] | None = None) -> DataFrame:
-    """Median, minimum, maximum and coefficient of variation of repeated runs."""
-    return df.groupBy(*(by or [])).agg(
-        F.count("*").alias("runs"), F.median(rate).alias("median"), F.min(rate).alias("minimum"), F.max(rate).alias("maximum"),
-        F.when(F.count("*") > 1, F.stddev_samp(rate) / F.avg(rate)).otherwise(0.0).alias("cv"),
+    """Median, minimum, maximum and coefficient of variation of repeated runs; one key may hold all of them. Without groups no runs give one row, with runs 0."""
+    by = by or []
+    x = F.col(quoted(rate))
+    told = df.groupBy(*[quoted(c) for c in by]).agg(
+        F.count("*").alias("runs"), F.min(x).alias("minimum"), F.max(x).alias("maximum"),
+        F.when(F.count("*") > 1, F.stddev_samp(x) / F.avg(x)).otherwise(0.0).alias("cv"),
     )
+    return _with_middles(df, x, by, told).select(*[F.col(quoted(c)) for c in by], "runs", "median", "minimum", "maximum", "cv")
+
+
+def _with_middles(df: DataFrame, value: Column, by: list[str], told: DataFrame) -> DataFrame:
+    """told, a row for each group, with the group's median and upper median."""
+    found = middles(df, value, by).select(*[F.col(quoted(c)).alias(f"_t{i}") for i, c in enumerate(by)], median(F.col("lower"), F.col("upper")).alias("median"), F.col("upper").alias("upper_median"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(quoted(c)).eqNullSafe(F.col(f"_t{i}"))
+    return told.join(found if by else F.broadcast(found), same, "left")  # without groups one row each
 
 
 def ratio_sets(df: DataFrame, chunk: str, channel: str, raw: str, packed: str) -> DataFrame:
@@ -61,8 +74,12 @@ def ratio_sets(df: DataFrame, chunk: str, channel: str, raw: str, packed: str) -
     return made.withColumn("ratio", F.col("raw_bytes") / F.col("packed_bytes"))
 
 
-def ratio_spread(df: DataFrame, ratio: str) -> DataFrame:
-    return df.agg(F.min(ratio).alias("minimum"), F.median(ratio).alias("median"), upper_median(F.col(ratio)).alias("upper_median"), F.max(ratio).alias("maximum"))
+def ratio_spread(df: DataFrame, ratio: str, by: list[str] | None = None) -> DataFrame:
+    """Minimum, median, upper median (the higher of the two in the middle) and maximum, of all rows or of each group."""
+    by = by or []
+    x = F.col(quoted(ratio))
+    told = df.groupBy(*[quoted(c) for c in by]).agg(F.min(x).alias("minimum"), F.max(x).alias("maximum"))
+    return _with_middles(df, x, by, told).select(*[F.col(quoted(c)) for c in by], "minimum", "median", "upper_median", "maximum")
 
 
 def errors(df: DataFrame, expected: str, actual: str, by: list[str] | None = None) -> DataFrame:

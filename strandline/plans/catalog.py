@@ -383,11 +383,7 @@ def grouping_sets_chunk_channel(spark, sf_dir):
 
 @query("SELECT l_returnflag, min(l_quantity) AS minimum, median(l_quantity) AS median, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS upper_median, max(l_quantity) AS maximum FROM lineitem GROUP BY 1")
 def upper_median_stats(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    n = li.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("c"))  # whole quantities: few values, so a group is a small histogram
-    merged = n.groupBy("l_returnflag").agg(F.array_sort(F.collect_list(F.struct("l_quantity", "c"))).alias("h"), F.sum("c").alias("n"))
-    at = lambda k: F.expr(f"filter(transform(h, (x, i) -> named_struct('q', x.l_quantity, 'to', aggregate(slice(h, 1, i + 1), 0L, (s, y) -> s + y.c))), x -> x.to > {k})[0].q")
-    return merged.select("l_returnflag", F.col("h")[0]["l_quantity"].alias("minimum"), ((at("(n - 1) div 2") + at("n div 2")) / 2).alias("median"), at("n div 2").alias("upper_median"), F.element_at("h", -1)["l_quantity"].alias("maximum"))
+    return T.ratio_spread(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"])
 
 
 @query("SELECT event_type, count(*) AS runs, median(value) AS median, min(value) AS minimum, max(value) AS maximum, round(stddev_samp(value) / avg(value), 6) AS cv FROM events GROUP BY 1")
