@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from strandline.functions.schema import canonical_columns
 from strandline.functions.values import entity_token, finite
 from strandline.operators.matching import fuzzy_tokens
+from strandline.operators.scan import lagged
+from strandline.operators.sweep import asof, nearest
+from strandline.session import written
 
+#: Relations of a token that a bucket holds at most as a list; buckets that one of them may span.
+CROWD, SPAN = 256, 64
 REASONS = ("hit", "outside tolerance", "entity not found", "missing entity", "bad timestamp")
 
 
@@ -33,7 +38,7 @@ def prepare_relations(relations: DataFrame, order: str | None = None) -> DataFra
     return made.withColumn("key", F.coalesce(key, F.to_json("relation"))).withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
-def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.0, fuzzy_threshold: float | None = 0.88, relation_order: str | None = None, bucket_ms: float | None = None) -> DataFrame:
+def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.0, fuzzy_threshold: float | None = 0.88, relation_order: str | None = None, bucket_ms: float | None = None, crowd: int = CROWD) -> DataFrame:
     """Each row of sequence with the relation whose closed interval is nearest in time, within the tolerance.
 
     Columns are canonical: equipment_id and timestamp_ms here, equipment_id, start_ms and end_ms there
@@ -44,7 +49,8 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
 
     Relations are gathered by token and time bucket, so a sample meets one row with all that may hold it:
     one left join that keeps rows as they are, without a row for each candidate. Buckets default to the
-    mean width of an interval with its tolerance.
+    median width of an interval with its tolerance. A token with more than `crowd` relations in a bucket, or with one over more than SPAN buckets, is
+    swept instead (`sweep.nearest`), with the same result: nothing of it is gathered, however many of its relations overlap.
     """
     if not (math.isfinite(tolerance_ms) and tolerance_ms >= 0):
         raise ValueError("the tolerance must be finite and not negative")
@@ -55,7 +61,7 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
     good = told.where("ok").drop("ok")
     invalid = told.agg(F.count_if(~F.col("ok")).alias("invalid_relation_count"))
     if bucket_ms is None:
-        width = good.agg(F.avg(F.col("last") - F.col("first"))).first()[0] or 0.0
+        width = good.agg(F.percentile_approx(F.col("last") - F.col("first"), 0.5)).first()[0] or 0.0
         bucket_ms = max(width + 2 * tolerance_ms, 1.0)
     token = entity_token(F.col("equipment_id")) if "equipment_id" in sequence.columns else F.lit("")
     rows = sequence.withColumn("_token", token).withColumn("_t", _number(sequence, "timestamp_ms"))
@@ -67,9 +73,16 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
         renamed = good.join(near.select(F.col("token").alias("_from"), F.col("match").alias("token")), "token").withColumn("token", F.col("_from")).drop("_from")
         good = good.unionByName(renamed)
     low, high = F.floor((F.col("first") - tolerance_ms) / bucket_ms), F.floor((F.col("last") + tolerance_ms) / bucket_ms)
-    gathered = good.withColumn("bucket", F.explode(F.sequence(low, high))).groupBy("token", "bucket").agg(F.collect_list(F.struct("first", "last", "key", "place", "relation")).alias("_near"))
+    good = good.withColumns({"_low": low, "_high": high})
+    short = F.col("_high") - F.col("_low") < SPAN
+    many = good.where(short).select("token", F.explode(F.sequence("_low", "_high")).alias("bucket")).groupBy("token", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    swept = written(many.select("token").unionByName(good.where(~short).select("token")).distinct(), "swept")
+    some = not swept.isEmpty()
+    listed = good.join(swept, "token", "left_anti") if some else good
+    gathered = listed.withColumn("bucket", F.explode(F.sequence("_low", "_high"))).groupBy("token", "bucket").agg(F.collect_list(F.struct("first", "last", "key", "place", "relation")).alias("_near"))
     rows = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket_ms))
     met = rows.join(gathered, (F.col("_token") == gathered.token) & (F.col("_bucket") == gathered.bucket), "left").drop("token", "bucket")
+    kinds = kinds.join(swept.withColumn("_swept", F.lit(True)), "token", "left") if some else kinds.withColumn("_swept", F.lit(None).cast("boolean"))
     met = met.join(kinds.withColumnRenamed("token", "_kind"), F.col("_token") == F.col("_kind"), "left").drop("_kind")
     t = F.col("_t")
 
@@ -79,6 +92,11 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
 
     best = F.array_min(F.filter(F.transform(F.col("_near"), ranked), lambda c: c["distance"] <= tolerance_ms))
     met = met.withColumn("_best", best)
+    if some:
+        met = written(met.drop("_near", "_bucket"), "met")
+        crowded = F.coalesce(F.col("_swept"), F.lit(False)) & t.isNotNull()
+        found = nearest(met.where(crowded).drop("_best").withColumns({"token": F.col("_token"), "t": t}), good.join(swept, "token", "left_semi").drop("_low", "_high"), tolerance_ms)
+        met = met.where(~crowded).unionByName(found.drop("token", "t").withColumnRenamed("best", "_best"))
     reason = (
         F.when(F.col("_token") == "", REASONS[3]).when(t.isNull(), REASONS[4]).when(F.col("_best").isNotNull(), REASONS[0])
         .when(F.col("entity_match").isNull(), REASONS[2]).otherwise(REASONS[1])
@@ -106,14 +124,12 @@ def fuse(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1000.0
 def label_by_interval(rows: DataFrame, intervals: DataFrame, t: str = "timestamp_ms", label: str = "work_order") -> DataFrame:
     """rows with the label of the one closed interval [start_ms, end_ms] that holds them, null outside; overlapping intervals are an error.
 
-    Intervals are gathered by time bucket, as in align().
+    Intervals without bounds, or that end before they start, hold nothing. Sorted by start, each must begin after the greatest end before it; then a row can only lie in the one
+    that began last, which a scan of starts and rows carries along. So neither a long interval nor many in one place make a list.
     """
-    width = intervals.agg(F.avg(F.col("end_ms") - F.col("start_ms"))).first()[0] or 0.0
-    size = max(float(width), 1.0)
-    spread = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_ms") / size), F.floor(F.col("end_ms") / size))))
-    gathered = spread.groupBy("_b").agg(F.collect_list(F.struct(F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.col(label).alias("label"))).alias("_in"))
-    met = rows.withColumn("_b", F.floor(F.col(t) / size)).join(gathered, "_b", "left").drop("_b")
-    hit = F.filter("_in", lambda i: (i["a"] <= F.col(t)) & (F.col(t) <= i["b"]))
-    met = met.withColumn("_hit", F.coalesce(hit, F.array().cast(met.schema["_in"].dataType)))
-    one = F.when(F.size("_hit") > 1, F.raise_error(F.lit("intervals overlap"))).otherwise(F.get("_hit", F.lit(0))["label"])
-    return met.withColumn("label", one.cast(intervals.schema[label].dataType)).drop("_in", "_hit")
+    sound = written(intervals.where(F.col("start_ms") <= F.col("end_ms")).select(F.lit(0).alias("_by"), F.col("start_ms").cast("double").alias("_a"), F.col("end_ms").cast("double").alias("_z"), F.col(label).alias("_l")), "intervals")
+    if not lagged(sound, F.col("_z"), ["_by"], ["_a", "_z"]).where(F.col("_a") <= F.col("lag_1")).isEmpty():
+        raise ValueError("intervals overlap")  # if none begins before the one before it has ended, none begins before any has
+    events = sound.select("_by", F.col("_a").alias("_at"), F.struct(F.col("_z").alias("z"), F.col("_l").alias("l")).alias("event"))
+    met = asof(rows.withColumns({"_by": F.lit(0), "_at": F.col(t).cast("double")}), events, "_by", "_at", "_hit")
+    return met.withColumn("label", F.when(F.col("_at") <= F.col("_hit.z"), F.col("_hit.l"))).drop("_by", "_at", "_hit")
