@@ -60,9 +60,6 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
     told = prepare_relations(relations, relation_order)
     good = told.where("ok").drop("ok")
     invalid = told.agg(F.count_if(~F.col("ok")).alias("invalid_relation_count"))
-    if bucket_ms is None:
-        width = good.agg(F.percentile_approx(F.col("last") - F.col("first"), 0.5)).first()[0] or 0.0
-        bucket_ms = max(width + 2 * tolerance_ms, 1.0)
     token = entity_token(F.col("equipment_id")) if "equipment_id" in sequence.columns else F.lit("")
     rows = sequence.withColumn("_token", token).withColumn("_t", _number(sequence, "timestamp_ms"))
     kinds = good.select("token").distinct().withColumn("entity_match", F.lit("exact"))
@@ -72,12 +69,19 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
         kinds = kinds.unionByName(near.select("token").distinct().withColumn("entity_match", F.lit("fuzzy")))
         renamed = good.join(near.select(F.col("token").alias("_from"), F.col("match").alias("token")), "token").withColumn("token", F.col("_from")).drop("_from")
         good = good.unionByName(renamed)
+    width = F.col("last") - F.col("first")
+    each = good.groupBy("token").agg(F.count("*").alias("n"), F.percentile_approx(width, 0.5).alias("typical"), F.max(width).alias("longest"))
+    most, typical, longest = each.agg(F.max("n"), F.percentile_approx("typical", 0.5), F.max("longest")).first()
+    bucket_ms = bucket_ms if bucket_ms is not None else max((typical or 0.0) + 2 * tolerance_ms, 1.0)
+    lists = (most or 0) <= crowd and (longest or 0.0) + 2 * tolerance_ms < (SPAN - 2) * bucket_ms  # then no bucket holds more, none spans more
     low, high = F.floor((F.col("first") - tolerance_ms) / bucket_ms), F.floor((F.col("last") + tolerance_ms) / bucket_ms)
     good = good.withColumns({"_low": low, "_high": high})
-    short = F.col("_high") - F.col("_low") < SPAN
-    many = good.where(short).select("token", F.explode(F.sequence("_low", "_high")).alias("bucket")).groupBy("token", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-    swept = written(many.select("token").unionByName(good.where(~short).select("token")).distinct(), "swept")
-    some = not swept.isEmpty()
+    some = False
+    if not lists:
+        short = F.col("_high") - F.col("_low") < SPAN
+        many = good.where(short).select("token", F.explode(F.sequence("_low", "_high")).alias("bucket")).groupBy("token", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+        swept = written(many.select("token").unionByName(good.where(~short).select("token")).distinct(), "swept")
+        some = not swept.isEmpty()
     listed = good.join(swept, "token", "left_anti") if some else good
     gathered = listed.withColumn("bucket", F.explode(F.sequence("_low", "_high"))).groupBy("token", "bucket").agg(F.collect_list(F.struct("first", "last", "key", "place", "relation")).alias("_near"))
     rows = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket_ms))

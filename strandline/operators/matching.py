@@ -5,33 +5,90 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.schema import ALIASES, canonical_name
+from strandline.session import written
+
+
+def _score(a: str | None, b: str | None, least: float) -> float | None:
+    """Share of characters in matching blocks (Ratcliff-Obershelp); null where the characters in common show that it is below `least`."""
+    if a is None or b is None:
+        return None
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if m.quick_ratio() >= least else None
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks (Ratcliff-Obershelp)."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+def similarity(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([_score(x, y, z) for x, y, z in zip(a, b, least, strict=True)], dtype="float64")
+
+
+def _needed(total: Column, q: int, threshold: float) -> Column:
+    """q-grams that two tokens of `total` characters together share at least, if their ratio reaches the threshold.
+
+    A ratio r of lengths a and b means M = r (a + b) / 2 characters in matching blocks, which stand in the same order in both. Each of the a - M others of the one
+    breaks q of its q-grams at most, each of the b - M of the other, by standing between two, q - 1; so a - q + 1 - q (a - M) - (q - 1) (b - M) are
+    left, which is (2 q - 1) M - (q - 1) (a + b + 1).
+    """
+    return F.ceil(total * ((2 * q - 1) * threshold / 2 - (q - 1)) - (q - 1) - 1e-9)
+
+
+def _grams(tokens: DataFrame, name: str, q: int) -> DataFrame:
+    """(name, n, gram): the q-grams of each token, the k-th time a q-gram stands there with its k."""
+    n = F.length(name)
+    at = F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(F.col(name), i, F.lit(q)))
+    each = tokens.where(n >= q).select(name, n.alias("n"), F.explode(at).alias("g")).groupBy(name, "n", "g").agg(F.count("*").alias("c"))
+    return each.select(name, "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c")), lambda k: F.struct(F.col("g"), k.alias("k")))).alias("gram"))
+
+
+def _prefixes(grams: DataFrame, often: DataFrame, name: str, q: int, threshold: float) -> DataFrame:
+    """Of each token its rarest grams, one more than it may lack: two tokens that share enough grams share one of these."""
+    bound = threshold / (2 - threshold)
+    shortest = F.greatest(F.ceil(F.col("n") * bound - 1e-9), F.lit(1))  # of the tokens whose ratio with this one can reach the threshold
+    kept = F.col("n") - q + 1 - F.greatest(_needed(F.col("n") + shortest, q, threshold), F.lit(1)) + 1
+    place = F.row_number().over(Window.partitionBy(name).orderBy("f", "gram"))
+    return grams.join(often, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0))).withColumn("place", place).where(F.col("place") <= kept).select(name, "n", "gram")
+
+
+def candidates(wanted: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(token, match): every pair of wanted (token) and known (match) whose ratio can reach the threshold, and others.
+
+    Pairs are found by bigrams, or by characters where tokens are so short, or the threshold so low (two thirds), that bigrams prove nothing; rare ones are looked up first (a prefix filter).
+    A pair shares a character at least.
+    """
+    threshold = max(threshold, 1e-6)
+    share = 1.5 * threshold - 1
+    short = int(1 / share + 1e-9) if share > 1e-9 else 1 << 30  # lengths that together are no more have no bigram they must share
+    found = None
+    for q in (1, 2):
+        if q == 2 and short == 1 << 30:
+            break
+        few = lambda df, name: df.where(F.length(name) < short) if q == 1 else df  # noqa: B023, E731
+        left, right = _grams(few(wanted, "token"), "token", q), _grams(few(known, "match"), "match", q)
+        often = right.groupBy("gram").agg(F.count("*").alias("f"))
+        a = _prefixes(left, often, "token", q, threshold).withColumnRenamed("n", "a")
+        b = _prefixes(right, often, "match", q, threshold).withColumnRenamed("n", "b")
+        total, least = F.col("a") + F.col("b"), F.least("a", "b")
+        fits = 2 * least >= threshold * total - 1e-9
+        fits = fits & (total <= short) if q == 1 else fits & (total > short)
+        pairs = a.join(b, "gram").where(fits).select("token", "match").distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
 
 
 def fuzzy_tokens(wanted: DataFrame, known: DataFrame, threshold: float = 0.88) -> DataFrame:
     """(token, match, score): for each wanted token that isn't known its best known ones, all that tie, from the threshold.
 
-    wanted, known: one column `token`. Lengths bound the similarity by 2 min / (a + b), so only lengths that can reach the
-    threshold are joined; below a threshold of 0.01 all lengths are.
+    wanted, known: one column `token`. Only pairs are scored that `candidates` can't rule out; tokens without a common character don't match.
     """
     left = wanted.where(F.col("token") != "").distinct().join(known.select("token"), "token", "left_anti")
-    right = known.where(F.col("token") != "").distinct().select(F.col("token").alias("match"), F.length("token").alias("n"))
-    bound = max(threshold, 0.01) / (2 - max(threshold, 0.01))
-    size = F.length("token")
-    longest = F.broadcast(right.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest")))  # one row
-    low, high = F.greatest(F.ceil(size * bound - 1e-9), F.lit(1)).cast("int"), F.least(F.floor(size / bound + 1e-9), F.col("longest")).cast("int")
-    spread = left.crossJoin(longest).where(low <= high).withColumn("n", F.explode(F.sequence(low, high)))
-    scored = spread.join(right, "n").select("token", "match", similarity("token", "match").alias("score")).where(F.col("score") >= threshold)
+    right = known.where(F.col("token") != "").distinct().select(F.col("token").alias("match"))
+    scored = candidates(left, right, threshold).withColumn("score", similarity("token", "match", F.lit(threshold))).where(F.col("score") >= threshold)
+    # the best score, then what has it: pairs of a token may be many, so they aren't gathered
+    scored = written(scored, "scored")
     best = scored.groupBy("token").agg(F.max("score").alias("best"))
     return scored.join(best, "token").where(F.col("score") == F.col("best")).select("token", "match", "score")
 

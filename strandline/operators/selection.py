@@ -42,14 +42,20 @@ def _within(rows: DataFrame, targets: DataFrame, keys: list[str], n: int) -> Dat
 def middles(df: DataFrame, value: Column, by: list[str], small: int = SMALL) -> DataFrame:
     """(by, n, lower, upper): number of the values that aren't null, and the two in the middle (one, twice, if n is odd). Exact; keys without values give no row.
 
-    value: a double; NaN counts as the largest. A first pass counts the values of each key by sign and exponent; a bin that holds a middle is split into BINS, again and
+    value: a double; NaN counts as the largest. If no key has more than `small` values, each is sorted. Else a first pass counts the values of each key by sign and exponent; a bin that holds a middle is split into BINS, again and
     again, at most five times, until it holds `small` values or equal ones only; then the values of such bins alone are sorted. So no task holds a key's values, and what
     is shuffled are counts and small bins. `df` is read once for each pass.
     """
     keys = [f"_k{i}" for i in range(len(by) + 1)]  # without `by` there is one key
     rows = df.select(F.lit(0).alias("_k0"), *[F.col(quoted(c)).alias(k) for c, k in zip(by, keys[1:], strict=True)], value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    shown = [F.col(k).alias(c) for c, k in zip(by, keys[1:], strict=True)]
+    most = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= small:  # each key is a small bin
+        whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("_v")).alias("_all"))
+        at = lambda i: F.get("_all", F.floor(i).cast("int"))
+        return whole.select(*shown, "n", at((F.col("n") - 1) / 2).alias("lower"), at(F.col("n") / 2).alias("upper"))
     kept = [*keys, "_name", "_at", "_n", "_c", "_lo", "_hi"]
-    bins = written(_bins(rows, keys, _leading(F.col("_v"))), "bins").withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    bins = _bins(rows, keys, _leading(F.col("_v"))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
     name = lambda s, at: F.struct(F.lit(s).alias("name"), at.cast("long").alias("at"))
     ranks = F.array(name("lower", F.floor((F.col("_n") - 1) / 2)), name("upper", F.floor(F.col("_n") / 2)))
     targets = written(_hit(bins, keys, ranks).select(*kept), "targets")
@@ -69,7 +75,7 @@ def middles(df: DataFrame, value: Column, by: list[str], small: int = SMALL) ->
     found = found.unionByName(sorted_.select(*keys, "_name", "_n", F.get("_all", F.col("_at").cast("int")).alias("_x")))
     pick = lambda s: F.max(F.when(F.col("_name") == s, F.col("_x"))).alias(s)
     both = found.groupBy(*keys).agg(F.max("_n").alias("n"), pick("lower"), pick("upper"))
-    return both.select(*[F.col(k).alias(c) for c, k in zip(by, keys[1:], strict=True)], "n", "lower", "upper")
+    return both.select(*shown, "n", "lower", "upper")
 
 
 def median(lower: Column, upper: Column) -> Column:
