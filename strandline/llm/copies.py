@@ -265,6 +265,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = _rooted(docs)[1].groupBy("root").agg(F.min("first").alias("first"))
     name = lambda doc_id: F.xxhash64(doc_id, doc_id.isNull())
     chosen = chosen.select(name(F.col("first.doc_id")).alias("_k"), F.col("first.t").alias("_t"))
-    rows = docs.select(name(F.col("doc_id")).alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_h"), F.struct("*").alias("_row"))
+    rows = docs.select(name(F.col("doc_id")).alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), F.xxhash64(F.to_json(F.struct("*"))).alias("_h"), F.struct("*").alias("_row"))
     kept = rows.join(chosen, ["_k", "_t"], "left_semi").groupBy("_k", "_t").agg(F.min_by("_row", "_h").alias("_row"))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

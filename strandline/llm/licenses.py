@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import lower_ascii
+from strandline.llm.text import laid, let, lower_ascii
 
 #: Phrases whose words must stand consecutively, and the label of each.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -243,18 +243,15 @@ def _gates(table: list[Rule]) -> list[str]:
 def _word_spans(norm: Column, rule: Column) -> Column:
     """Detections of a rule in ' w0 w1 ... ': (first word, minus the end, priority, order, label)."""
     hits = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-    gaps = F.slice(F.split(norm, rule["pattern"], -1), 1, F.size(hits))
+    none = F.array().cast("array<struct<first:int,stop:int,priority:int,n:int,label:string>>")
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    kind = "array<struct<first:int,stop:int,priority:int,n:int,label:string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["g"]
-        stop = first + x["h"]
-        found = F.struct((first - 1).alias("first"), (-stop).alias("stop"), rule["priority"].alias("priority"), rule["n"].alias("n"), rule["label"].alias("label"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(norm, rule["pattern"], -1), 1, F.size(found))
+        at = laid(F.zip_with(gaps, found, lambda g, h: F.struct(blanks(g).alias("g"), blanks(h).alias("h"))))
+        return F.transform(at, lambda x: F.struct((x["start"] - 1).alias("first"), (-x["stop"]).alias("stop"), rule["priority"].alias("priority"), rule["n"].alias("n"), rule["label"].alias("label")))
 
-    both = F.zip_with(gaps, hits, lambda g, h: F.struct(blanks(g).alias("g"), blanks(h).alias("h")))
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    return let(hits, lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
 
 
 def _surviving(found: Column) -> Column:
@@ -277,7 +274,7 @@ def _surviving(found: Column) -> Column:
             F.when(stays, F.array_union(acc["labels"], F.array(x["label"]))).otherwise(acc["labels"]).alias("labels"),
         )
 
-    return F.aggregate(F.array_sort(found), start, step)
+    return F.aggregate(F.sort_array(found), start, step)
 
 
 def scan(docs: DataFrame) -> DataFrame:

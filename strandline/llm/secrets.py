@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.text import spans
+from strandline.llm.text import before, blocks, let, spans
 
 #: Kinds in the order in which equal starts are listed: the base ones, then what linking adds.
 KINDS = ("assign", "access", "hex", "key", "short", "user", "endpoint")
@@ -83,7 +85,7 @@ def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         | (of("user") & F.col("secret"))
         | (of("endpoint") & F.col("secret") & (F.col("access") | F.col("user")))
     )
-    return parts.where(holds).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "n", "stop"))).alias("found"))
+    return parts.where(holds).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "n", "stop"))).alias("found"))
 
 
 def _key(docs: DataFrame) -> Column:
@@ -98,8 +100,8 @@ def _found(docs: DataFrame, keep: list[str], scope: int) -> DataFrame:
     listed = {k: _listed(k, v) for k, v in _base(text).items()}
     base = docs.select(*keep, _key(docs).alias("_key"), *[v.alias(f"_{k}") for k, v in listed.items()])
     both = base.join(linked(gated, scope).withColumnsRenamed({"key": "_key", "found": "_found"}), "_key", "left")
-    ours = F.array_sort(F.concat("_assign", "_access", "_hex"))
-    return both.withColumn("_base", ours).withColumn("_all", F.when(F.col("_found").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_found"))))
+    ours = F.sort_array(F.concat("_assign", "_access", "_hex"))
+    return both.withColumn("_base", ours).withColumn("_all", F.when(F.col("_found").isNull(), F.col("_base")).otherwise(F.sort_array(F.concat("_base", "_found"))))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -118,26 +120,41 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
+def _masked(text: Column, found: Column, mask: str) -> Column:
+    """The text with a mask in place of each run of the sorted spans.
+
+    A span opens a run if it starts after the furthest stop of all before it; the run ends where the next one's text begins. Runs are
+    cut out in blocks of blocks, each from the stretch of the text that its block has taken, as the n-th character is found by counting.
+    """
+    reach = before(F.transform(found, lambda x: x["stop"]), lambda a, b: F.greatest(a, b))
+    opens = F.filter(F.zip_with(found, reach, lambda x, r: F.struct(r.alias("a"), x["start"].alias("z"), ((r == 0) | (x["start"] > r)).alias("new"))), lambda x: x["new"])
+
+    def cut(t: Column, start: Column, runs: Column, part: Callable[[Column, Column, Column], Column]) -> Column:
+        """The pieces of runs, joined; t: the text from start on."""
+        return F.array_join(F.transform(runs, lambda x: part(t, start, x)), mask)
+
+    def within(ends: Callable[[Column], tuple[Column, Column]], part: Callable[[Column, Column, Column], Column]) -> Callable[[Column, Column, Column], Column]:
+        def f(t: Column, start: Column, x: Column) -> Column:
+            a, z = ends(x)
+            return let(F.struct(F.substr(t, a - start + 1, z - a).alias("t"), a.alias("a"), x.alias("x")), lambda own: cut(own["t"], own["a"], own["x"], part))
+
+        return f
+
+    one = lambda t, start, x: F.substr(t, x["a"] - start + 1, x["z"] - x["a"])
+    few = within(lambda p: (F.element_at(p, 1)["a"], F.element_at(p, -1)["z"]), one)
+    many = within(lambda q: (F.element_at(F.element_at(q, 1), 1)["a"], F.element_at(F.element_at(q, -1), -1)["z"]), few)
+    kept = let(opens, lambda xs: F.array_join(F.transform(blocks(blocks(xs)), lambda q: many(text, F.lit(0), q)), mask))
+    last = F.array_max(F.transform(found, lambda x: x["stop"]))
+    return F.concat(kept, F.lit(mask), F.substr(text, last + 1, F.length(text)))
+
+
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """docs with each span, or each run of overlapping spans, of its text replaced by the mask; n_chars, if there, follows.
 
     Texts without spans, null and empty ones stay as they are, and so do every row and all other columns, whatever their names.
     """
     found = _found(docs.select("doc_id", "text", F.struct("*").alias("_row")), ["text", "_row"], scope)
-    kind = "array<struct<start:int,stop:int>>"
-
-    def grow(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-        wider = F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop")))
-        return F.when(F.size(acc) == 0, one).when(x["start"] <= last["stop"], F.concat(F.slice(acc, 1, F.size(acc) - 1), wider)).otherwise(F.concat(acc, one))
-
-    found = found.withColumn("_runs", F.aggregate("_all", F.array().cast(kind), grow))
-    text = F.col("text")
-    before = lambda i: F.coalesce(F.get("_runs", i - 1)["stop"], F.lit(0))
-    kept = F.transform("_runs", lambda x, i: F.substr(text, before(i) + 1, x["start"] - before(i)))
-    tail = F.substr(text, F.element_at("_runs", -1)["stop"] + 1, F.length(text))
-    found = found.withColumn("_masked", F.when(F.size("_all") == 0, text).otherwise(F.concat(F.array_join(kept, mask), F.lit(mask), tail)))
+    found = found.withColumn("_masked", F.when(F.size("_all") == 0, F.col("text")).otherwise(_masked(F.col("text"), F.col("_all"), mask)))
 
     def column(c: str) -> Column:
         old = F.col("_row").getField(c)
