@@ -545,17 +545,50 @@ def parse_payload_formats(spark, sf_dir):
 @query("SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def stream_ring_snapshot(spark, sf_dir):
     schema = "event_id bigint, ts timestamp_ntz, value double"
-    folder = _folder(spark, "stream")
-    ring = ingest.Ring(spark, folder, schema, ["ts", "event_id"], capacity=1000, max_batch=10_000_000)
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    ingest.replay(events.select("event_id", "ts", "value"), ring, folder + "/checkpoint")
+    ring = ingest.Ring(spark, _folder(spark, "ring"), schema, ["ts", "event_id"], capacity=1000, max_batch=10_000_000)
+    ring.start(_events(spark, sf_dir).select("event_id", "ts", "value")).awaitTermination()
     return ring.snapshot(50).select("event_id", "value")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query("SELECT r.run, count(*) AS rows, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gaps FROM events, range(2) r(run) GROUP BY 1")
+def stream_replay_loss(spark, sf_dir):
+    """The events dealt into three files, replayed twice after a warm-up; what each batch took stands in a ledger."""
+    folder, n = _folder(spark, "replay"), table(spark, sf_dir, "events").count()
+    table(spark, sf_dir, "events").repartition(3, "event_id").write.parquet(f"{folder}/in")
+
+    def start(events: DataFrame, run: int):
+        return events.writeStream.format("noop").option("checkpointLocation", f"{folder}/checkpoint{run}").trigger(availableNow=True).start()
+
+    source = lambda: spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    runs, ledger = ingest.replay(spark, source, start, n, repeats=2, warm_up=1)
+    return ledger.groupBy("run").agg(F.sum("rows").alias("rows")).join(runs.select("run", "lost", "gaps"), "run").select(F.col("run").cast("long").alias("run"), "rows", "lost", "gaps")
+
+
+@query(f"SELECT user_id AS equipment_id, count(*) AS n, count_if(prev IS NULL OR clock >= prev) AS consistent FROM (SELECT user_id, clock, lag(clock) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS prev FROM (SELECT *, {MS} AS ms, (event_id * 7919) % 10007 AS clock FROM events)) GROUP BY 1")
+def stream_running_consistency(spark, sf_dir):
+    """Events arrive by their hash, not in their order; each machine's clock is compared in event time."""
+    folder = _folder(spark, "consistency")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("equipment_id"), F.timestamp_millis(V.epoch_ms(F.col("ts"))).alias("ts"), "event_id", ((F.col("event_id") * 7919) % 10007).cast("double").alias("clock"))
+    e.repartition(2, F.hash("event_id")).write.parquet(f"{folder}/in")
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 61 DAYS")).alias("ts")).select(F.lit(None).cast("bigint").alias("equipment_id"), "ts", F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("double").alias("clock"))
+    end.write.mode("append").parquet(f"{folder}/in")  # a beat of no machine, so that all that waits comes due
+    events = spark.readStream.schema(e.schema).parquet(f"{folder}/in")
+    with ingest.rocksdb(spark):
+        made = ingest.running_consistency(events, "ts", t="clock", place="event_id", late="60 days")
+        query = made.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.schema("equipment_id bigint, n bigint, consistent bigint, batch int").parquet(f"{folder}/out")
+    return out.where(F.col("equipment_id").isNotNull()).groupBy("equipment_id").agg(F.max(F.struct("n", "consistent")).alias("last")).select("equipment_id", "last.n", "last.consistent")
+
+
 @query("SELECT CAST(epoch_ms(date_trunc('day', ts)) AS BIGINT) AS day_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, sf_dir):
     folder = _folder(spark, "windows")
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = ingest.window_counts(events, window="1 day", late="60 days", by=("event_type",))
     out = {}
 

@@ -1,59 +1,186 @@
-"""Streams: micro-batches into a ring of the newest rows, replays with a loss check, and windows of event time."""
+"""Streams: a ring of the newest rows in keyed state, replays with a ledger of what was lost, windows of event time."""
 
 from __future__ import annotations
 
+import json
+import sys
+import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+
+from strandline.functions.values import quoted
+
+#: The process that prepares keyed state gets only what is pickled, not the path of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY, MAX_BATCH = 250_000, 20_000
+#: Keys over which a ring is dealt.
+SLOTS = 8
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB, which state with lists and timers needs."""
+    name, wanted = _PROVIDER
+    before = spark.conf.get(name)
+    spark.conf.set(name, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class _Newest(StatefulProcessor):
+    """Of each slot a list of rows, cut to the newest `capacity` whenever it has twice as many, and the number of all rows seen."""
+
+    def __init__(self, schema: str, order: list[int], capacity: int, max_batch: int):
+        self.schema, self.order, self.capacity, self.max_batch = schema, order, capacity, max_batch
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", self.schema)
+        self.seen = handle.getValueState("seen", "total bigint, held bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        new = [tuple(r)[1:] for r in rows]  # without the slot
+        if len(new) > self.max_batch:
+            raise ValueError(f"a batch of {len(new)} rows; at most {self.max_batch} are taken")
+        total, held = self.seen.get() if self.seen.exists() else (0, 0)
+        if held + len(new) > 2 * self.capacity:
+            every = [*(self.rows.get() if self.rows.exists() else []), *new]
+            every.sort(key=lambda r: tuple((r[i] is not None, r[i]) if r[i] is not None else (False,) for i in self.order))
+            every = [tuple(r) for r in every[-self.capacity :]]
+            self.rows.put(every)
+            held = len(every)
+        elif new:
+            self.rows.appendList(new)
+            held += len(new)
+        self.seen.update((total + len(new), held))
+        yield Row(slot=key[0], total=total + len(new), held=held)
+
+    def close(self) -> None:
+        pass
 
 
 class Ring:
-    """The newest `capacity` rows of a stream, as a table in a folder, and the number of all rows it took.
+    """The newest `capacity` rows of a stream, by `order`, kept in the state of the query that takes them; a restart from its checkpoint goes on with the same rows.
 
-    Use `ring.take` in foreachBatch. A batch of more than max_batch rows is refused as a whole. Each batch is written beside the last state and
-    then named as current, so that a lost executor or a repeated batch changes nothing; batches must carry `order` to say which rows are new.
+    Rows are dealt over `slots` by a hash of all columns; each keeps its own newest ones, so all that can be among the newest of all, and no task keeps more than twice the capacity.
+    A batch that brings a slot more than max_batch rows is refused as a whole: the query fails and its state stays as it was. Snapshots read the state
+    that the last finished batch left in the checkpoint, so any session that sees the folder can take one. Columns of maps or other types without an order can't be in `order`.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, order: list[str], capacity: int = CAPACITY, max_batch: int = MAX_BATCH):
-        if capacity <= 0 or max_batch <= 0:
-            raise ValueError("capacity and batch must be positive")
-        self.spark, self.folder, self.schema, self.order, self.capacity, self.max_batch = spark, folder, schema, order, capacity, max_batch
-        self.current, self.total, self.last = None, 0, -1
+    def __init__(self, spark: SparkSession, checkpoint: str, schema: str, order: list[str], capacity: int = CAPACITY, max_batch: int = MAX_BATCH, slots: int = SLOTS):
+        if capacity <= 0 or max_batch <= 0 or slots <= 0:
+            raise ValueError("capacity, batch and slots must be positive")
+        self.spark, self.checkpoint, self.schema, self.order, self.capacity, self.max_batch, self.slots = spark, checkpoint, schema, order, capacity, max_batch, slots
+        self.columns = spark.createDataFrame([], schema).columns
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.current) if self.current else self.spark.createDataFrame([], self.schema)
+    def stream(self, events: DataFrame) -> DataFrame:
+        """A streaming frame (slot, total, held) that takes the rows."""
+        kind = self.schema
+        processor = _Newest(kind, [self.columns.index(c) for c in self.order], self.capacity, self.max_batch)
+        dealt = events.select(F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in self.columns]), F.lit(self.slots)).alias("slot"), *[F.col(quoted(c)) for c in self.columns])
+        return dealt.groupBy("slot").transformWithState(processor, "slot bigint, total bigint, held bigint", "Update", "None")
 
-    def take(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.last:
-            return
-        n = batch.count()
-        if n > self.max_batch:
-            raise ValueError(f"a batch of {n} rows; at most {self.max_batch} are taken")
-        if n:
-            every = self.rows().unionByName(batch.select(*self.rows().columns))
-            path = f"{self.folder}/ring-{batch_id}"
-            every.orderBy(*[F.desc(c) for c in self.order]).limit(self.capacity).write.mode("overwrite").parquet(path)
-            self.current, self.total = path, self.total + n
-        self.last = batch_id
+    def start(self, events: DataFrame) -> StreamingQuery:
+        """Take all that is there, batch by batch, and stop."""
+        with rocksdb(self.spark):
+            return self.stream(events).writeStream.format("noop").outputMode("update").option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+
+    def _state(self, name: str) -> DataFrame:
+        with rocksdb(self.spark):
+            return self.spark.read.format("statestore").option("stateVarName", name).load(self.checkpoint)
+
+    def total(self) -> int:
+        """Rows taken so far."""
+        return self._state("seen").agg(F.sum("value.total")).first()[0] or 0
 
     def snapshot(self, limit: int) -> DataFrame:
         """The newest rows, oldest first."""
-        return self.rows().orderBy(*[F.desc(c) for c in self.order]).limit(limit).orderBy(*self.order)
+        rows = self._state("rows").select("list_element.*")
+        return rows.orderBy(*[F.desc(c) for c in self.order]).limit(min(limit, self.capacity)).orderBy(*self.order)
+
+
+class Ledger(StreamingQueryListener):
+    """Of each batch of one query: its number, its rows, and the offsets from which and to which each source was read."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, str, str, float]] = []
+        self.ended = threading.Event()
+        self.run: str | None = None
+        self.waiting: list = []
+
+    def follow(self, query: StreamingQuery) -> None:
+        """From now on, and from what was heard before, only this query counts."""
+        self.run = str(query.runId)
+        for event in self.waiting:
+            self._note(event)
+
+    def _note(self, event: object) -> None:
+        if self.run is None:
+            self.waiting.append(event)
+            return
+        if hasattr(event, "progress"):
+            p = event.progress
+            if str(p.runId) == self.run and p.numInputRows:
+                offsets = [json.dumps([getattr(s, k) for s in p.sources]) for k in ("startOffset", "endOffset")]
+                self.rows.append((p.batchId, p.numInputRows, *offsets, p.batchDuration / 1000))
+        elif str(event.runId) == self.run:
+            self.ended.set()
 
+    def onQueryStarted(self, event: object) -> None:
+        pass
 
-def replay(source: DataFrame, ring: Ring, checkpoint: str) -> dict:
-    """Run a stream over all that is there; rows taken, seconds and rows a second."""
-    before, began = ring.total, time.perf_counter()
-    query = source.writeStream.foreachBatch(ring.take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    seconds = time.perf_counter() - began
-    return {"rows": ring.total - before, "seconds": seconds, "rows_per_second": (ring.total - before) / max(seconds, 1e-9)}
+    def onQueryProgress(self, event: object) -> None:
+        self._note(event)
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:
+        self._note(event)
+
+
+LEDGER = "run int, batch bigint, rows bigint, start_offset string, end_offset string, seconds double"
+RUNS = "run int, batches bigint, rows bigint, lost bigint, gaps bigint, seconds double, rows_per_second double"
+
+
+def replay(spark: SparkSession, source: Callable[[], DataFrame], start: Callable[[DataFrame, int], StreamingQuery], expected: int, repeats: int = 1, warm_up: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(runs, ledger) of a stream that is run over all that is there, `repeats` times after `warm_up` runs that don't count.
+
+    source makes the stream, start(frame, run) starts a query that ends by itself, with a checkpoint of its own for each run. expected: rows that the source holds.
+    The ledger has a row for each batch, from the events of the query; a run's `lost` is expected less what its batches took (below 0: taken twice), its `gaps` are batches that don't begin at the
+    offset at which the one before ended. Runs are few and a batch is one row, so both come from the driver.
+    """
+    batches, runs = [], []
+    for run in range(-warm_up, repeats):
+        ledger = Ledger()
+        spark.streams.addListener(ledger)
+        try:
+            began = time.perf_counter()
+            query = start(source(), run)
+            ledger.follow(query)
+            query.awaitTermination()
+            seconds = time.perf_counter() - began
+            if not ledger.ended.wait(60):
+                raise TimeoutError("the events of the query didn't come")
+        finally:
+            spark.streams.removeListener(ledger)
+        if run < 0:
+            continue
+        own = sorted(ledger.rows)
+        taken = sum(r[1] for r in own)
+        gaps = sum(a[3] != b[2] for a, b in zip(own, own[1:], strict=False))
+        batches += [(run, *r) for r in own]
+        runs.append((run, len(own), taken, expected - taken, gaps, seconds, taken / max(seconds, 1e-9)))
+    return spark.createDataFrame(runs, RUNS), spark.createDataFrame(batches, LEDGER)
 
 
 def window_counts(events: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "10 minutes", by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
@@ -67,19 +194,51 @@ def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", late: str =
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def running_consistency(events: DataFrame, entity: str = "equipment_id", t: str = "timestamp_ms") -> DataFrame:
-    """(entity, n, consistent) as far as a stream has come: rows whose time isn't before that of the row before, of each entity, kept as state."""
+class _Ordered(StatefulProcessor):
+    """Rows wait until no earlier one can come, then are compared in the order of their event time (and of `place` within one)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, place bigint, t double")
+        self.counts = handle.getValueState("counts", "n bigint, consistent bigint, last double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        new = [(r["at"], r["place"], r["t"]) for r in rows if r["t"] is not None and r["t"] == r["t"]]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        every = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted(r for r in every if r[0] <= upto)
+        n, good, last = self.counts.get() if self.counts.exists() else (0, 0, None)
+        for _, _, t in ready:
+            good += last is None or t >= last
+            n, last = n + 1, t
+        if ready:
+            rest = [r for r in every if r[0] > upto]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(rest)[0])
+            else:
+                self.waiting.clear()
+            self.counts.update((n, good, last))
+            yield Row(key=key[0], n=n, consistent=good)
+
+    def close(self) -> None:
+        pass
+
+
+def running_consistency(events: DataFrame, ts: str, entity: str = "equipment_id", t: str = "timestamp_ms", place: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """(entity, n, consistent) as far as the watermark has come: rows whose `t` isn't before that of the row before them in event time `ts`, of each entity.
+
+    Rows may arrive in any order within `late`: they wait in state, with a timer at the first event time, and are compared when the watermark passes it; rows that are later
+    still are dropped, which the query's progress counts, and so are times of 1970 or before, where watermarks begin. place: a whole number that orders rows of one event time. Rows without a number `t` are neither counted nor compared; a null
+    entity is one of its own. Start the query within `rocksdb`, in update mode.
+    """
     kind = events.schema[entity].dataType.simpleString()
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, good, last = state.get if state.exists else (0, 0, None)
-        for frame in frames:
-            times = frame[t].dropna().tolist()
-            for x in times:
-                good += last is None or x >= last
-                last = x
-            n += len(frame)
-        state.update((n, good, last))
-        yield pd.DataFrame({entity: [key[0]], "n": [n], "consistent": [good]})
-
-    return events.groupBy(entity).applyInPandasWithState(step, f"{entity} {kind}, n bigint, consistent bigint", "n bigint, consistent bigint, last double", "update", GroupStateTimeout.NoTimeout)
+    told = events.withWatermark(ts, late).select(F.col(quoted(entity)).alias("key"), F.unix_millis(F.col(quoted(ts))).alias("at"), (F.col(quoted(place)).cast("long") if place else F.lit(0).cast("long")).alias("place"), F.col(quoted(t)).cast("double").alias("t"), F.col(quoted(ts)).alias("event_time"))
+    made = told.groupBy("key").transformWithState(_Ordered(), f"key {kind}, n bigint, consistent bigint", "Update", "EventTime")
+    return made.withColumnRenamed("key", entity)
