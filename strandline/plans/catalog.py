@@ -19,7 +19,8 @@ from strandline.operators import truth as T
 from strandline.operators import windows as W
 from strandline.operators.matching import fuzzy_tokens, match_schemas
 from strandline.session import shared_dir, table, written
-from strandline.sources.text import parse_payloads
+from strandline.sources import files, quarantine, series
+from strandline.sources.text import parse_payloads, sniffed
 from strandline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -600,6 +601,126 @@ def stream_window_counts(spark, sf_dir):
     return spark.read.parquet(out["path"]).select(F.unix_millis("window_start").alias("day_ms"), "event_type", "n")
 
 
+# Files: written from the tables, read by the readers.
+
+_LINES = "SELECT event_id, CASE event_id % 50 WHEN 7 THEN '[1]' WHEN 8 THEN '{\"id\": NaN}' WHEN 9 THEN '{\"id\": \"x\"}' WHEN 10 THEN '{\"id\": 1' END AS broken FROM events"
+
+
+def _lines_file(spark: SparkSession, rows: DataFrame, order: str, tag: str) -> str:
+    """One text file of the lines in their order: a file that a reader is to number must be one."""
+    path = _folder(spark, tag)
+    rows.orderBy(order).select("value").coalesce(1).write.text(path)
+    return path
+
+
+@query(f"SELECT CASE WHEN broken IS NULL THEN 'read' WHEN broken = '[1]' THEN 'no object' WHEN broken LIKE '%x%' THEN 'a value is not of its type' ELSE 'no JSON' END AS outcome, count(*) AS n, CAST(sum(event_id + 1) AS BIGINT) AS lines, CAST(coalesce(sum(CASE WHEN broken IS NULL THEN event_id END), 0) AS BIGINT) AS ids FROM ({_LINES}) GROUP BY 1")
+def jsonl_quarantine(spark, sf_dir):
+    i = F.col("event_id")
+    broken = F.when(i % 50 == 7, "[1]").when(i % 50 == 8, '{"id": NaN}').when(i % 50 == 9, '{"id": "x"}').when(i % 50 == 10, '{"id": 1')
+    lines = table(spark, sf_dir, "events").select("event_id", F.coalesce(broken, F.to_json(F.struct(i.alias("id"), "value"))).alias("value"))
+    good, bad = quarantine.read_jsonl(spark, _lines_file(spark, lines, "event_id", "jsonl"), "id bigint, value double")
+    every = good.select(F.lit("read").alias("outcome"), "line", "id").unionByName(bad.select(F.col("reason").alias("outcome"), "line", F.lit(0).cast("long").alias("id")))
+    return every.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("line").cast("long").alias("lines"), F.sum("id").cast("long").alias("ids"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 40 = 3 THEN 'fields beyond the header' WHEN o_orderkey % 40 = 4 THEN 'a quote is not closed' END AS reason FROM orders")
+def delimited_quarantine(spark, sf_dir):
+    k = F.col("o_orderkey")
+    line = F.when(k % 40 == 3, F.concat(k.cast("string"), F.lit(","), "o_orderpriority", F.lit(",more"))).when(k % 40 == 4, F.concat(k.cast("string"), F.lit(',"'), "o_orderpriority")).when(k % 5 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit(',"'), "o_orderpriority", F.lit('"')))
+    o = table(spark, sf_dir, "orders").select(k.alias("k"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "o_orderkey,o_orderpriority")], "k bigint, value string"))
+    good, bad = quarantine.read_delimited(spark, _lines_file(spark, o, "k", "delimited"))
+    broken = bad.select(F.regexp_extract("text", "^([0-9]+)", 1).cast("long").alias("o_orderkey"), F.regexp_extract("text", ',"?([^,"]+)', 1).alias("o_orderpriority"), "reason")
+    return good.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority", F.lit(None).cast("string").alias("reason")).unionByName(broken)
+
+
+_STEPS = "list_transform(embedding, lambda x: CAST(floor(1000 * CAST(x AS DOUBLE)) AS DOUBLE))"
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(1000 * x.cast("double")).cast("long")).alias("v"))
+
+
+@query(f"SELECT concat('series-TRAIN-', row_number() OVER (ORDER BY vec_id) + 1) AS equipment_id, CAST(label AS INTEGER) AS label, {_STEPS} AS values FROM embeddings")
+def labelled_series_scan(spark, sf_dir):
+    lines = _series(spark, sf_dir).select("vec_id", F.concat(F.array_join(F.col("v").cast("array<string>"), ","), F.lit(":"), F.col("label")).alias("value"))
+    head = spark.createDataFrame([(-2, "# series"), (-1, "@data")], "vec_id bigint, value string")
+    made = series.read_labelled_series(spark, _lines_file(spark, lines.unionByName(head), "vec_id", "series"), "TRAIN", 64)
+    return made.select("equipment_id", "label", "values")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) AS INTEGER) AS wafer_id, CAST(label AS INTEGER) AS label, CAST(1216468500000 + 60000 * (vec_id % 1000) AS BIGINT) AS timestamp_ms, list_transform(list_zip(list_transform(embedding, lambda x: CAST(floor(1000 * CAST(x AS DOUBLE)) AS DOUBLE)), range(64)), lambda z: CASE WHEN (vec_id + z[2]) % 9 <> 0 THEN z[1] END) AS values FROM embeddings")
+def matrix_label_zip(spark, sf_dir):
+    """A matrix and the labels beside it line by line; some cells are NaN."""
+    rows = _series(spark, sf_dir)
+    cells = F.transform("v", lambda x, i: F.when((F.col("vec_id") + i) % 9 != 0, x.cast("string")).otherwise("NaN"))
+    stamp = F.date_format(F.timestamp_millis(F.lit(1216468500000) + 60_000 * (F.col("vec_id") % 1000)), "dd/MM/yyyy HH:mm:ss")
+    matrix = _lines_file(spark, rows.select("vec_id", F.array_join(cells, " ").alias("value")), "vec_id", "matrix")
+    labels = _lines_file(spark, rows.select("vec_id", F.concat(F.col("label").cast("string"), F.lit(' "'), stamp, F.lit('"')).alias("value")), "vec_id", "labels")
+    return series.read_matrix(spark, matrix, labels).select("wafer_id", "label", "timestamp_ms", "values")
+
+
+@query("SELECT event_id AS source_row, CAST(epoch_ms(date_trunc('second', ts)) AS BIGINT) AS timestamp_ms, 'APU' AS equipment_id, CAST(floor(value) AS DOUBLE) AS value FROM events")
+def machine_sequence(spark, sf_dir):
+    """One checked channel of machine readings as a sequence; the other channels aren't parsed."""
+    e = table(spark, sf_dir, "events")
+    channels = [(F.col("event_id") % 2).cast("string").alias(c) if c in series.DIGITAL else F.floor("value").cast("string").alias(c) for c in (*series.ANALOG, *series.DIGITAL)]
+    path = _folder(spark, "machine")
+    e.select(F.col("event_id").alias("row"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *channels).write.option("header", "true").csv(path)
+    return series.sequence_of(series.read_machine(spark, path, channels=("TP2", "COMP")), "TP2")
+
+
+@query("SELECT n_name AS name, true AS ok, CAST(length(n_name) + 1 AS BIGINT) AS size, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def manifest_check(spark, sf_dir):
+    """A file for each nation, hashed in chunks and held against a manifest."""
+    n, path = table(spark, sf_dir, "nation").select("n_name"), _folder(spark, "nations")
+    n.select(F.col("n_name").alias("value"), F.hex("n_name").alias("n")).write.partitionBy("n").text(path)
+    files.register(spark)
+    there = spark.read.format("file_hashes").load(path).where(~F.col("name").contains(".crc") & F.col("name").contains("part-"))
+    place = there.select(F.decode(F.unhex(F.regexp_extract("name", "^n=([0-9A-F]+)/", 1)), "UTF-8").alias("nation"), "name")
+    manifest = n.select("n_name", (F.length("n_name") + 1).cast("long").alias("size"), F.sha2(F.concat("n_name", F.lit("\n")), 256).alias("sha256")).join(place, F.col("n_name") == F.col("nation"))
+    made = files.verified(spark, path, manifest.select("name", "size", "sha256"))
+    return made.join(place, "name").select(F.col("nation").alias("name"), "ok", "size", "sha256")
+
+
+@query("SELECT event_id, ['json', 'jsonl', 'csv', 'tsv', 'semicolon', 'pipe', 'text', 'empty'][event_id % 8 + 1] AS format FROM events")
+def sniffed_formats(spark, sf_dir):
+    i = F.col("event_id")
+    table_of = lambda d: F.concat(F.lit(f"id{d}kind\n"), i, F.lit(f"{d}x\n"), i + 1, F.lit(f"{d}y\n"))
+    kinds = [F.concat(F.lit('[{"id": '), i, F.lit("}]")), F.concat(F.lit('{"id": '), i, F.lit('}\n{"id": 1}')), *[table_of(d) for d in ",\t;|"], F.lit("word"), F.lit(" \n")]
+    texts = F.element_at(F.array(*kinds), (i % 8 + 1).cast("int"))
+    return sniffed(table(spark, sf_dir, "events").select("event_id", texts.alias("text")), "text").select("event_id", "format")
+
+
+@query(f"SELECT event_id, {MS} AS timestamp_ms FROM events")
+def iso_first_timestamps(spark, sf_dir):
+    """Times as ISO text with a zone, without one, with a blank for the T, or as a number."""
+    i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(i % 4 == 0, F.concat(iso, F.lit("Z"))).when(i % 4 == 1, iso).when(i % 4 == 2, F.concat(F.lit(" "), F.date_format(ts + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+02:00"))).otherwise((F.unix_micros(ts) / 1000).cast("decimal(20,3)").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.rint(V.iso_or_number(text, "string")).cast("long").alias("timestamp_ms"))
+
+
+_LISTED = "NOT r_e AND TRY_CAST(regexp_extract(equipment_id, '[0-9]+') AS BIGINT) % 10 <> 0"
+
+
+@query(GOVERNED + f"SELECT source_index, CASE WHEN bad OR NOT coalesce({_LISTED}, false) THEN 'quarantined' ELSE 'accepted' END AS status, NOT coalesce({_LISTED}, false) AS unlisted FROM h")
+def equipment_master_quarantine(spark, sf_dir):
+    known = table(spark, sf_dir, "events").where(F.col("user_id") % 10 != 0).select(F.concat(F.lit("U-"), "user_id").alias("equipment"))
+    made = G.govern(messy(spark, sf_dir), {"enforce_equipment_master": True}, known)
+    return made.select("source_index", "status", F.array_contains("reasons", "equipment not in master data").alias("unlisted"))
+
+
+_PHASE = """SELECT '{phase}' AS phase, count(*) AS n, round(100.0::DOUBLE * count_if(NOT coalesce(equipment_id, '') = '' AND raw_ts IS NOT NULL AND value IS NOT NULL) / count(*), 2) AS completeness,
+round(100.0::DOUBLE * count_if(NOT coalesce(equipment_id, '') = '' AND timestamp_ms IS NOT NULL AND value IS NOT NULL) / count(*), 2) AS validity FROM h"""
+
+
+@query(GOVERNED + _PHASE.format(phase="before") + " UNION ALL " + _PHASE.format(phase="after") + " WHERE NOT bad")
+def quality_before_and_after(spark, sf_dir):
+    m = messy(spark, sf_dir)
+    master = {"equipment_id": table(spark, sf_dir, "events").select(F.concat(F.lit("U-"), "user_id"))}
+    return G.before_and_after(m, G.govern(m), master, float(REF_MS)).select("phase", "n", "completeness", "validity")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence rows fused with their relations, unmatched ones kept."""
     return fuse_left_preserve(spark, sf_dir)

@@ -1,4 +1,4 @@
-"""Files of series and sensors: labelled series, a matrix with a label file, machine readings, bearings, checked files."""
+"""Files of series and sensors: labelled series, a matrix with a label file, machine readings, bearings."""
 
 from __future__ import annotations
 
@@ -93,10 +93,3 @@ def read_bearings(spark: SparkSession, path: str, equipment: str = "bearings", s
     cells = F.split(F.btrim("value"), r"\t")
     return lines.select(F.col("line").alias("sample_index"), (F.col("line") * step_ns).alias("timestamp_ns"), F.lit(equipment).alias("equipment_id"), *[cells[i].cast("double").alias(f"bearing_{i + 1}") for i in range(4)])
 
-
-def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(name, ok, size, sha256) of the manifest's files (name, size, sha256) below path; names that leave the folder, or aren't there, are not ok."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("_size"), F.sha2("content", 256).alias("_sum"))
-    met = manifest.join(files, "name", "left")
-    inside = ~F.col("name").rlike(r"/|\\|^\.\.?$")
-    return met.select("name", F.coalesce(inside & (F.col("size") == F.col("_size")) & (F.lower("sha256") == F.col("_sum")), F.lit(False)).alias("ok"), F.col("_size").alias("size"), F.col("_sum").alias("sha256"))

@@ -6,7 +6,7 @@ import hashlib
 
 import pytest
 
-from strandline.sources import series, text
+from strandline.sources import files, series, text
 
 
 def test_sniffing():
@@ -118,4 +118,4 @@ def test_verified(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     sums = hashlib.sha256(b"abc").hexdigest()
     m = spark.createDataFrame([("a.bin", 3, sums), ("a.bin", 4, sums), ("../a.bin", 3, sums), ("b.bin", 3, sums)], "name string, size long, sha256 string")
-    assert [r.ok for r in series.verified(spark, str(tmp_path), m).orderBy("ok").collect()] == [False, False, False, True]
+    assert [r.ok for r in files.verified(spark, str(tmp_path), m).orderBy("ok").collect()] == [False, False, False, True]
