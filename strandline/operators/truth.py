@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.values import quoted
+from strandline.functions.values import pct, quoted
 from strandline.operators.selection import median, middles
 
 
@@ -33,6 +33,26 @@ def mismatches(compared: DataFrame, key: str, limit: int = 20) -> DataFrame:
     return compared.where(~F.col("correct")).orderBy(key, "attribute").limit(limit)
 
 
+def report(compared: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    """One row: cells, those present and those correct, both in percent (0 of nothing), the least of them, and the first mismatches as 'key attribute: value'."""
+    counts = cell_accuracy(compared)
+    share = lambda c: F.when(F.col("cells") == 0, 0.0).otherwise(pct(F.col(c), F.col("cells")))
+    said = F.concat(F.col(key).cast("string"), F.lit(" "), F.col("attribute"), F.lit(": "), F.coalesce("val", F.lit("-")))
+    first = mismatches(compared, key, limit).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("attribute").alias("a"), said.alias("s")))).alias("m"))  # `limit` rows
+    made = counts.crossJoin(F.broadcast(first)).withColumns({"completeness": share("present"), "accuracy": share("correct")})
+    return made.select("cells", "present", "correct", "completeness", "accuracy", F.least("completeness", "accuracy").alias("minimum"), F.col("m.s").alias("mismatches"))
+
+
+def accuracy_counts(df: DataFrame, predicted: str, truth: str, match: str) -> DataFrame:
+    """One row of a prediction against the truth, both null where there is none: n, correct, positive and negative rows (with and without a truth), how many of each are
+    correct, and how many rows met their entity by a similar name (`match` is 'fuzzy')."""
+    same, there = F.col(predicted).eqNullSafe(F.col(truth)), F.col(truth).isNotNull()
+    return df.agg(
+        F.count("*").alias("n"), F.count_if(same).alias("correct"), F.count_if(there).alias("positive"), F.count_if(there & same).alias("positive_correct"),
+        F.count_if(~there).alias("negative"), F.count_if(~there & same).alias("negative_correct"), F.count_if(F.col(match) == "fuzzy").alias("fuzzy"),
+    )
+
+
 def wide_cells(df: DataFrame, sensors: list[str]) -> DataFrame:
     """Cells, those present and those finite, over many nullable columns: one aggregate, no unpivot."""
     there = sum((F.count(F.col(quoted(c))) for c in sensors[1:]), F.count(F.col(quoted(sensors[0]))))

@@ -125,6 +125,22 @@ def align_accuracy_wilson(spark, sf_dir):
     return c.select("n", "hits", "inside", F.round(V.wilson(F.col("hits"), F.col("n"))[0], 2).alias("low"))
 
 
+_NEAR = f"SELECT event_id AS work_order, user_id, {MS} - 1000 AS start_ms, {MS} + 1000 AS end_ms FROM events WHERE event_id % 500 = 0"
+
+
+@query(f"""WITH w AS ({_NEAR}), s AS (SELECT event_id AS i, user_id, {MS} AS ms FROM events),
+p AS (SELECT s.i, t.work_order AS truth, q.work_order AS predicted, s.user_id IN (SELECT user_id FROM w) AS known FROM s LEFT JOIN w t ON s.ms BETWEEN t.start_ms AND t.end_ms LEFT JOIN w q ON q.user_id = s.user_id AND s.ms BETWEEN q.start_ms AND q.end_ms)
+SELECT count(*) AS n, count_if(predicted IS NOT DISTINCT FROM truth) AS correct, count(truth) AS positive, count_if(truth IS NOT NULL AND predicted IS NOT DISTINCT FROM truth) AS positive_correct,
+count_if(truth IS NULL) AS negative, count_if(truth IS NULL AND predicted IS NULL) AS negative_correct, count_if(known AND i % 2 = 0) AS fuzzy FROM p""")
+def accuracy_split(spark, sf_dir):
+    """Alignment by machine, half of the names with a letter too many, against the truth by time alone."""
+    name, e = F.lpad("equipment_id", 13, "machine000000"), sequence(spark, sf_dir)
+    w = e.where(F.col("source_index") % 500 == 0).select(name.alias("equipment_id"), (F.col("timestamp_ms") - 1000).alias("start_ms"), (F.col("timestamp_ms") + 1000).alias("end_ms"), F.col("source_index").alias("work_order"))
+    s = e.withColumn("equipment_id", F.when(F.col("source_index") % 2 == 0, F.concat(name, F.lit("x"))).otherwise(name))
+    told = A.label_by_interval(A.align(s, w, 0.0, 0.95).withColumn("predicted", F.col("relation.work_order")), w)
+    return T.accuracy_counts(told, "predicted", "label", "entity_match")
+
+
 @query(f"SELECT event_id AS equipment_id, {MS} AS timestamp_ms, value, event_type AS kind FROM events")
 def canonical_rename(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -377,6 +393,11 @@ def cell_truth_mismatch_top20(spark, sf_dir):
     return T.mismatches(_compared(spark, sf_dir), "o_orderkey").select("o_orderkey", "attribute", "correct_val", "val")
 
 
+@query(CELLS + ", s AS (SELECT count(*) AS cells, count_if(val <> '') AS present, count_if(val IS NOT DISTINCT FROM correct_val) AS correct FROM c), p AS (SELECT *, round(100.0::DOUBLE * present / cells, 2) AS completeness, round(100.0::DOUBLE * correct / cells, 2) AS accuracy FROM s) SELECT *, least(completeness, accuracy) AS minimum, (SELECT list(concat(o_orderkey, ' ', attribute, ': ', coalesce(val, '-')) ORDER BY o_orderkey, attribute) FROM (SELECT * FROM c WHERE val IS DISTINCT FROM correct_val ORDER BY o_orderkey, attribute LIMIT 20)) AS mismatches FROM p")
+def cell_truth_report(spark, sf_dir):
+    return T.report(_compared(spark, sf_dir), "o_orderkey")
+
+
 @query("SELECT count(*) * 4 AS cells, count(l_quantity) + count(l_extendedprice) + count(l_discount) + count(CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END) AS present, count(l_quantity) + count(l_extendedprice) + count(l_discount) + count(CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END) AS finite FROM lineitem")
 def wide_cell_completeness(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax")))
