@@ -83,9 +83,9 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
         swept = written(many.select("token").unionByName(good.where(~short).select("token")).distinct(), "swept")
         some = not swept.isEmpty()
     listed = good.join(swept, "token", "left_anti") if some else good
-    gathered = listed.withColumn("bucket", F.explode(F.sequence("_low", "_high"))).groupBy("token", "bucket").agg(F.collect_list(F.struct("first", "last", "key", "place", "relation")).alias("_near"))
+    gathered = listed.withColumn("bucket", F.explode(F.sequence("_low", "_high"))).groupBy(F.col("token").alias("_of"), F.col("bucket").alias("_in")).agg(F.collect_list(F.struct("first", "last", "key", "place", "relation")).alias("_near"))
     rows = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket_ms))
-    met = rows.join(gathered, (F.col("_token") == gathered.token) & (F.col("_bucket") == gathered.bucket), "left").drop("token", "bucket")
+    met = rows.join(gathered, (F.col("_token") == F.col("_of")) & (F.col("_bucket") == F.col("_in")), "left").drop("_of", "_in")
     kinds = kinds.join(swept.withColumn("_swept", F.lit(True)), "token", "left") if some else kinds.withColumn("_swept", F.lit(None).cast("boolean"))
     met = met.join(kinds.withColumnRenamed("token", "_kind"), F.col("_token") == F.col("_kind"), "left").drop("_kind")
     t = F.col("_t")
@@ -99,8 +99,9 @@ def align(sequence: DataFrame, relations: DataFrame, tolerance_ms: float = 1200.
     if some:
         met = written(met.drop("_near", "_bucket"), "met")
         crowded = F.coalesce(F.col("_swept"), F.lit(False)) & t.isNotNull()
-        found = nearest(met.where(crowded).drop("_best").withColumns({"token": F.col("_token"), "t": t}), good.join(swept, "token", "left_semi").drop("_low", "_high"), tolerance_ms)
-        met = met.where(~crowded).unionByName(found.drop("token", "t").withColumnRenamed("best", "_best"))
+        asked = met.where(crowded).drop("_best").select(F.col("_token").alias("token"), t.alias("t"), F.struct("*").alias("_row"))
+        found = nearest(asked, good.join(swept, "token", "left_semi").drop("_low", "_high"), tolerance_ms)
+        met = met.where(~crowded).unionByName(found.select("_row.*", F.col("best").alias("_best")))
     reason = (
         F.when(F.col("_token") == "", REASONS[3]).when(t.isNull(), REASONS[4]).when(F.col("_best").isNotNull(), REASONS[0])
         .when(F.col("entity_match").isNull(), REASONS[2]).otherwise(REASONS[1])

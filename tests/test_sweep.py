@@ -37,9 +37,10 @@ def test_swept_equals_all_pairs(spark, crowd, seed):
     relations = [(rng.choice("abc"), float(a := rng.randrange(0, 300)), float(a + rng.choice([0, 0, 4, 4, 10, 10, 10, 37, 60])), f"{rng.randrange(10**6)}-{k}") for k in range(250)]
     relations += [("a", -1e6, 1e6, "long"), ("b", 500.0, 510.0, "late"), ("c", 5.0, 1.0, "reversed"), ("d", 40.0, 50.0, "alone")]
     samples = [(k, rng.choice("abcdx"), rng.randrange(-60, 1400) / 2) for k in range(1500)] + [(1500, "d", None), (1501, None, 5.0)]
-    made = A.align(spark.createDataFrame(samples, SEQ), spark.createDataFrame(relations, REL), 9.0, None, crowd=crowd).collect()
+    named = spark.createDataFrame(samples, SEQ).withColumns({"t": F.lit("mine"), "token": F.lit("too"), "event": F.lit(1)})  # names that the sweep uses itself
+    made = A.align(named, spark.createDataFrame(relations, REL), 9.0, None, crowd=crowd).collect()
     want = brute(samples[:1500], relations, 9.0)
-    assert len(made) == len(samples)
+    assert len(made) == len(samples) and all((r.t, r.token, r.event) == ("mine", "too", 1) for r in made)
     for r in made:
         best = want.get(r.source_index)
         assert (r.relation.work_order if r.relation else None) == (best[3] if best else None), (r, best)
