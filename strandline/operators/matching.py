@@ -13,6 +13,10 @@ from strandline.functions.schema import ALIASES, canonical_name
 from strandline.session import written
 
 
+#: Characters that a token may lack at most to be found by what is left, and texts that are left then.
+DELETED, VARIANTS = 3, 400
+
+
 def _score(a: str | None, b: str | None, least: float) -> float | None:
     """Share of characters in matching blocks (Ratcliff-Obershelp); null where the characters in common show that it is below `least`."""
     if a is None or b is None:
@@ -53,29 +57,71 @@ def _prefixes(grams: DataFrame, often: DataFrame, name: str, q: int, threshold:
     return grams.join(often, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0))).withColumn("place", place).where(F.col("place") <= kept).select(name, "n", "gram")
 
 
+def _common(a: Column, b: Column, threshold: float) -> Column:
+    """Characters in matching blocks of two tokens of a and b characters, at least, if their ratio reaches the threshold."""
+    return F.ceil((a + b) * (threshold / 2) - 1e-9)
+
+
+def _ways(n: Column, k: Column) -> Column:
+    """Subsequences of n - k of n characters, by place; null if k is more than DELETED."""
+    made = F.lit(1).cast("long")
+    found = F.when(k == 0, made)
+    for i in range(1, DELETED + 1):
+        made = F.floor(made * (n - i + 1) / i)
+        found = found.when(k == i, made)
+    return found
+
+
+def _easy(a: Column, b: Column, threshold: float) -> Column:
+    """Whether pairs of tokens of a and b characters are found by what is left when each lacks a few."""
+    m = _common(a, b, threshold)
+    return F.coalesce((_ways(a, a - m) <= VARIANTS) & (_ways(b, b - m) <= VARIANTS) & (m > 0), F.lit(False))
+
+
+def _variants(tokens: DataFrame, name: str, lacks: DataFrame) -> DataFrame:
+    """(name, n, rest): each token without each choice of k of its characters; lacks: n and k for the lengths there are."""
+    one = "array_distinct(flatten(transform(made, s -> transform(sequence(1, length(s)), i -> concat(substring(s, 1, i - 1), substring(s, i + 1))))))"
+    rests = F.expr(f"aggregate(sequence(0, k), array({name}), (made, i) -> if(i = 0, made, {one}))")
+    return tokens.withColumn("n", F.length(name)).join(F.broadcast(lacks), "n").select(name, "n", F.explode(rests).alias("rest"))
+
+
+def _by_variants(wanted: DataFrame, known: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
+    """(token, match): a ratio of r over a + b characters means r (a + b) / 2 in common in the same order, so both give the same text when each lacks its others."""
+    m = _common(F.col("a"), F.col("b"), threshold)
+    x = _variants(wanted, "token", lengths.select(F.col("a").alias("n"), (F.col("a") - m).cast("int").alias("k")).distinct()).withColumnRenamed("n", "a")
+    y = _variants(known, "match", lengths.select(F.col("b").alias("n"), (F.col("b") - m).cast("int").alias("k")).distinct()).withColumnRenamed("n", "b")
+    exact = (F.length("rest") == m) & _easy(F.col("a"), F.col("b"), threshold)
+    return x.join(y, "rest").where(exact).select("token", "match").distinct()
+
+
 def candidates(wanted: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """(token, match): every pair of wanted (token) and known (match) whose ratio can reach the threshold, and others.
 
-    Pairs are found by bigrams, or by characters where tokens are so short, or the threshold so low (two thirds), that bigrams prove nothing; rare ones are looked up first (a prefix filter).
-    A pair shares a character at least.
+    Tokens that may lack few characters, so that there are no more than VARIANTS texts without them, meet in such a text: then the number of pairs grows with
+    those that are alike, however many tokens share most of their q-grams, as numbered names do. Other pairs are found by bigrams, or by characters where tokens are so short, or the
+    threshold so low (two thirds), that bigrams prove nothing; rare ones are looked up first (a prefix filter). A pair shares a character at least.
     """
     threshold = max(threshold, 1e-6)
     share = 1.5 * threshold - 1
     short = int(1 / share + 1e-9) if share > 1e-9 else 1 << 30  # lengths that together are no more have no bigram they must share
-    found = None
+    a, b = F.col("a"), F.col("b")
+    total = a + b
+    fits = 2 * F.least(a, b) >= threshold * total - 1e-9
+    sizes = lambda df, name, n: df.select(F.length(name).alias(n)).where(F.col(n) > 0).distinct()
+    lengths = written(sizes(wanted, "token", "a").join(F.broadcast(sizes(known, "match", "b")), fits), "lengths", rows=1)
+    easy, hard = lengths.where(_easy(a, b, threshold)), lengths.where(~_easy(a, b, threshold))
+    found = _by_variants(wanted, known, easy, threshold)
     for q in (1, 2):
-        if q == 2 and short == 1 << 30:
-            break
-        few = lambda df, name: df.where(F.length(name) < short) if q == 1 else df  # noqa: B023, E731
-        left, right = _grams(few(wanted, "token"), "token", q), _grams(few(known, "match"), "match", q)
+        left_over = hard.where(total <= short if q == 1 else total > short)
+        if left_over.isEmpty():
+            continue
+        among = lambda df, name, n: df.join(F.broadcast(left_over.select(F.col(n).alias("_n")).distinct()), F.length(name) == F.col("_n"), "left_semi")  # noqa: B023, E731
+        left, right = _grams(among(wanted, "token", "a"), "token", q), _grams(among(known, "match", "b"), "match", q)
         often = right.groupBy("gram").agg(F.count("*").alias("f"))
-        a = _prefixes(left, often, "token", q, threshold).withColumnRenamed("n", "a")
-        b = _prefixes(right, often, "match", q, threshold).withColumnRenamed("n", "b")
-        total, least = F.col("a") + F.col("b"), F.least("a", "b")
-        fits = 2 * least >= threshold * total - 1e-9
-        fits = fits & (total <= short) if q == 1 else fits & (total > short)
-        pairs = a.join(b, "gram").where(fits).select("token", "match").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
+        x = _prefixes(left, often, "token", q, threshold).withColumnRenamed("n", "a")
+        y = _prefixes(right, often, "match", q, threshold).withColumnRenamed("n", "b")
+        kept = fits & (total <= short if q == 1 else total > short) & ~_easy(a, b, threshold)
+        found = found.unionByName(x.join(y, "gram").where(kept).select("token", "match").distinct())
     return found
 
 

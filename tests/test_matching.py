@@ -56,3 +56,11 @@ def test_many_tokens(spark):
     assert got == want and len(want) > 50
     pairs = candidates(w, k.withColumnRenamed("token", "match"), 0.88).count()
     assert pairs < 0.2 * len(wanted) * len(known)
+
+
+def test_numbered_names_meet_few(spark):
+    """Names that share all but their number: pairs grow with the names, not with their square."""
+    known = [f"machine{i:06d}" for i in range(3000)]
+    w, k = spark.createDataFrame([(f"{x}x",) for x in known], "token string"), spark.createDataFrame([(x,) for x in known], "match string")
+    found = [(r.token, r.match) for r in candidates(w, k, 0.95).collect()]
+    assert {(f"{x}x", x) for x in known} <= set(found) and len(found) < 3 * len(known)
