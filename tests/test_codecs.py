@@ -136,3 +136,33 @@ def test_frames(spark):
     assert near == {x for x in every if 10 <= x <= 12}
     e = frames.evaluate(df, "unit", "row", "v", "piecewise_linear|quantized_delta", 0.05, 16).collect()
     assert all(r.max_error <= 0.05 + 1e-9 for r in e) and sum(r.n for r in e) == 35
+
+
+@given(st.lists(st.one_of(st.integers(-5, 5), st.integers(-(2**63), 2**63 - 1)), min_size=1, max_size=512))
+@settings(max_examples=50, deadline=None)
+def test_sizes_of_bands(x):
+    d = np.array(x, np.int64)
+    order = np.sort(d)
+    for low, high in ((order[0], order[-1]), (order[len(d) // 5], order[len(d) - 1 - len(d) // 5])):
+        assert I.OutlierBits._size(d, order, low, high) == len(I.OutlierBits._bands(d, low, high))
+
+
+def test_blocks_come_in_one_stream(spark):
+    """Many short units, null and NaN among them, cut by batches: blocks as a grouping finds them, in as many tasks as shuffles have."""
+    n = 4000
+    rows = [(None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(i % 500), i, float(i % 13)) for i in range(n)]
+    df = spark.createDataFrame(rows, "unit double, row int, v double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        made = frames.evaluate(df, "unit", "row", "v", "raw", block=1000)
+        got = sorted((str(r.unit), r.block, r.n) for r in made.collect())
+        tasks = made.rdd.getNumPartitions()
+        back = frames.decompress(frames.compress(df, "unit", "row", "v", ["raw"], block=1000)).groupBy("unit", "block").agg({"value": "sum"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for u, i, v in rows:
+        at = want.setdefault((str(u), i // 1000), [0, 0.0])
+        at[0], at[1] = at[0] + 1, at[1] + v
+    assert got == sorted((*k, c[0]) for k, c in want.items()) and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(str(r[0]), r[1]): r[2] for r in back} == {k: c[1] for k, c in want.items()}
