@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.schema import canonical_columns
 from strandline.functions.values import finite, iso_or_number
 from strandline.operators.quality import assess
+from strandline.session import written
 
 #: The order in which rows repair: fields by name, then equipment, then numbers.
 NUMBERS = ("timestamp_ms", "value")
@@ -55,7 +56,7 @@ def repair(records: DataFrame, rules: Rules | dict | None = None, order: str = "
         made = F.upper(F.btrim(columns["equipment_id"].cast("string"), F.lit(" \t\n\r\x0b\x0c")))
         actions.append(act(made != columns["equipment_id"].cast("string"), "normalize_equipment_id", "equipment_id"))
         columns["equipment_id"] = made
-    raw = {}
+    raw, reads = {}, {}
     for c in NUMBERS:
         if c not in columns:
             columns[c] = F.lit(None).cast("double")
@@ -64,7 +65,8 @@ def repair(records: DataFrame, rules: Rules | dict | None = None, order: str = "
         text = kinds[c] == "string"
         empty = columns[c].isNull() | (columns[c] == "") if text else columns[c].isNull()
         reasons.append(F.when(empty, F.lit(f"missing {c}")))
-        number = iso_or_number(columns[c], kinds[c]) if c == "timestamp_ms" else finite(columns[c], kinds[c])
+        reads[f"_{c}_read"] = iso_or_number(columns[c], kinds[c]) if c == "timestamp_ms" else finite(columns[c], kinds[c])
+        number = F.col(f"_{c}_read")  # read once in a step of its own, however often it is asked for below
         if rules.coerce_numeric_fields:
             reasons.append(F.when(~empty & number.isNull(), F.lit(f"{c} isn't a finite number")))
             if text:
@@ -75,7 +77,7 @@ def repair(records: DataFrame, rules: Rules | dict | None = None, order: str = "
     reasons.append(F.when(entity.isNull() | (entity == ""), F.lit("missing equipment_id")))
     listed = F.array_compact(F.array(*actions)) if actions else F.array().cast("array<struct<rule:string,field:string>>")
     signature = [entity.alias("_s1"), raw.get("timestamp_ms", F.lit(None)).alias("_s2"), raw.get("value", F.lit(None)).alias("_s3")]
-    return df.select(*[x.alias(c) for c, x in columns.items()], listed.alias("actions"), F.array_compact(F.array(*reasons)).alias("reasons"), *signature)
+    return df.select("*", *[x.alias(c) for c, x in reads.items()]).select(*[x.alias(c) for c, x in columns.items()], listed.alias("actions"), F.array_compact(F.array(*reasons)).alias("reasons"), *signature)
 
 
 def govern(records: DataFrame, rules: Rules | dict | None = None, equipment: DataFrame | None = None, order: str = "source_index") -> DataFrame:
@@ -128,6 +130,6 @@ def summary(governed: DataFrame) -> DataFrame:
 
 
 def before_and_after(records: DataFrame, governed: DataFrame, master: dict[str, DataFrame], reference_ms: float, order: str = "source_index") -> DataFrame:
-    """The seven dimensions of the records as they came and of those accepted."""
-    a = assess(canonical_columns(records), master, reference_ms, order=order).withColumn("phase", F.lit("before"))
-    return a.unionByName(assess(accepted(governed), master, reference_ms, order=order).withColumn("phase", F.lit("after")))
+    """The seven dimensions of the records as they came and of those accepted. Both are written once, as each dimension reads them."""
+    a = assess(written(canonical_columns(records), "records"), master, reference_ms, order=order).withColumn("phase", F.lit("before"))
+    return a.unionByName(assess(written(accepted(governed), "accepted"), master, reference_ms, order=order).withColumn("phase", F.lit("after")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.values import is_finite, parsed, pct
 from strandline.operators.scan import RANGE, ranged
 from strandline.operators.selection import median, middles
+from strandline.session import written
 
 REQUIRED = ("timestamp_ms", "equipment_id", "value")
 LOW, HIGH = -1e6, 1e6
@@ -106,7 +107,8 @@ def stability_counts(df: DataFrame, by: tuple[str, ...] = (), factor: float = 12
     value = parsed(F.col("value"), dict(df.dtypes)["value"])
     rows = df.select(*by, F.coalesce(F.col("equipment_id").cast("string"), F.lit("")).alias("_e"), value.alias("_v")).where(is_finite(F.col("_v")))
     keys = [*by, "_e"]
-    rows = _beside(rows, middles(rows, F.col("_v"), keys), keys, "_m").withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
+    rows = written(rows, "values")  # a pass for each step of a median
+    rows = written(_beside(rows, middles(rows, F.col("_v"), keys), keys, "_m").withColumn("_d", F.abs(F.col("_v") - F.col("_m"))), "deviations")
     rows = _beside(rows.withColumnRenamed("n", "_n"), middles(rows, F.col("_d"), keys), keys, "_s")
     good = (F.col("_n") < 3) | (F.col("_d") <= F.greatest(factor * F.col("_s"), F.lit(1e-9)))
     return rows.groupBy(*by).agg(F.count("*").alias("checked"), F.count_if(good).alias("stable"))
