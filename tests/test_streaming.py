@@ -85,3 +85,40 @@ def test_running_consistency_in_event_time(spark, tmp_path):
         times = [t for x, _, t in rows if x == e and t is not None]
         assert got[e] == (len(times), sum(b >= a for a, b in zip(times, times[1:], strict=False)) + 1)
     assert "end" not in got
+
+
+def test_state_is_asked_for_slots_not_for_entities():
+    """What 200 entities bring a slot is one element of its state; it comes due in parts, in the order of time and place."""
+    import pandas as pd
+
+    asked = []
+
+    class Held(list):
+        def __getattr__(self, name):
+            def call(*a):
+                asked.append(name)
+                return {"appendValue": lambda: self.append(a[0]), "get": lambda: iter(self), "clear": self.clear, "put": lambda: self.__setitem__(slice(None), a[0]), "exists": lambda: bool(self), "update": lambda: self.__setitem__(slice(None), a)}[name]()
+            return call
+
+        def clear(self):
+            del self[:]
+
+    class One(Held):
+        def __getattr__(self, name):
+            return (lambda: self[0]) if name == "get" else super().__getattr__(name)
+
+    class Clock:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    timers = []
+    own = ingest._Ordered()
+    own.waiting, own.counts, own.handle = Held(), One(), type("Handle", (), {"registerTimer": lambda self, at: timers.append(at)})()
+    rows = [(0, f"=e{i % 200}", 100 + i // 200, 0, float(i // 200 % 3)) for i in range(2000)]
+    assert list(own.handleInputRows((0,), iter([pd.DataFrame(rows)]), None)) == []
+    assert asked == ["appendValue"] and timers == [100]
+    first, = own.handleExpiredTimer((0,), Clock(104), None)
+    then, = own.handleExpiredTimer((0,), Clock(999), None)
+    assert {*first.itertuples(index=False, name=None)} == {(f"=e{i}", 5, 4) for i in range(200)}
+    assert {*then.itertuples(index=False, name=None)} == {(f"=e{i}", 10, 7) for i in range(200)}
+    assert timers == [100, 105] and not own.waiting and list(own.handleExpiredTimer((0,), Clock(999), None)) == []
