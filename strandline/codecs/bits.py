@@ -20,15 +20,16 @@ def put_varints(u: np.ndarray) -> bytes:
     u = np.asarray(u, np.uint64)
     if not len(u):
         return b""
+    most = max(1, -(-int(u.max()).bit_length() // 7))
+    if most == 1:
+        return u.astype(np.uint8).tobytes()
     size = np.ones(len(u), np.int64)
-    for k in range(1, 10):
+    for k in range(1, most):
         size += u >= np.uint64(1 << (7 * k))
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]), np.uint8)
-    for k in range(10):
+    for k in range(most):
         has = size > k
-        if not has.any():
-            break
         part = ((u[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8)
         out[(ends - size)[has] + k] = part | np.where(size[has] > k + 1, 128, 0).astype(np.uint8)
     return out.tobytes()
@@ -57,6 +58,14 @@ def width(u: np.ndarray) -> int:
     return int(u.max()).bit_length() if len(u) else 0
 
 
+_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
+def widths(u: np.ndarray) -> np.ndarray:
+    """Bits of each."""
+    return np.searchsorted(_POWERS, u, "right")
+
+
 def pack(u: np.ndarray, bits: int) -> bytes:
     if not bits or not len(u):
         return b""

@@ -31,11 +31,19 @@ class Whole:
     def __init__(self, name: str, codec):
         self.name, self.codec = name, codec
 
-    def encode(self, x):
+    @staticmethod
+    def _integers(x) -> np.ndarray:
         x = np.asarray(x, np.float64)
         if (x != np.rint(x)).any():
             raise ValueError("the values aren't whole")
-        return self.codec.encode(x.astype(np.int64))
+        return x.astype(np.int64)
+
+    def encode(self, x):
+        return self.codec.encode(self._integers(x))
+
+    def shorter(self, x, most: int | None, tried: set[type]) -> bytes | None:
+        """encode(x), if it is shorter than most; tried: the codecs that were tried on x already."""
+        return (self.codec if isinstance(self.codec, Smallest) else Smallest([self.codec])).shorter(self._integers(x), most, tried)
 
     def decode(self, data):
         return self.codec.decode(data).astype(np.float64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -46,6 +47,10 @@ class Codec:
     def values(self, data: bytes, n: int) -> np.ndarray:
         raise NotImplementedError
 
+    def least(self, x: np.ndarray) -> int:
+        """Bytes that encode makes of x at least; cheaper than making them."""
+        return 0
+
     def encode(self, x) -> bytes:
         x = integers(x)
         return _HEAD.pack(self.magic, len(x)) + (self.body(x) if len(x) else b"")
@@ -69,6 +74,9 @@ class Codec:
 class Raw(Codec):
     magic = b"RAWI"
 
+    def least(self, x):
+        return _HEAD.size + 8 * len(x)
+
     def body(self, x):
         return x.astype("<i8").tobytes()
 
@@ -83,6 +91,9 @@ class Runs(Codec):
 
     magic = b"RLEI"
 
+    def least(self, x):
+        return _HEAD.size + 2 * (1 + int(np.count_nonzero(x[1:] != x[:-1]))) if len(x) else _HEAD.size
+
     def body(self, x):
         value, length = bits.runs(x)
         return bits.put_varints(np.column_stack((bits.zigzag(value), length.astype(np.uint64))).ravel())
@@ -132,6 +143,15 @@ class DeltaBits(Codec):
     block = 128
     order = 1
 
+    def least(self, x):
+        """The very size: each block's width follows from its least and greatest difference."""
+        if len(x) <= self.order:
+            return _HEAD.size
+        d = np.diff(x, self.order)
+        starts = np.arange(0, len(d), self.block)
+        w = bits.widths(np.maximum.reduceat(d, starts).view(np.uint64) - np.minimum.reduceat(d, starts).view(np.uint64))
+        return _HEAD.size + 1 + 8 * self.order + int((9 + (w * np.minimum(self.block, len(d) - starts) + 7) // 8).sum())
+
     def body(self, x):
         d = x
         firsts = []
@@ -171,6 +191,13 @@ class DeltaOfDelta(DeltaBits):
     order = 2
 
 
+@lru_cache(1 << 10)
+def _cuts(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of n differences may be apart at both ends."""
+    cuts = sorted({0, *[int(n * q) for q in (0.01, 0.02, 0.05, 0.1, 0.2)]})
+    return tuple(np.array([(a, b) for a in cuts for b in cuts if a + b < n], np.int64).T)
+
+
 class OutlierBits(Codec):
     """Blocks of differences in three bands: the few lowest and highest apart from the bulk, each in bits of its own width.
 
@@ -180,37 +207,40 @@ class OutlierBits(Codec):
     magic = b"OBPI"
     block = 512
 
-    def body(self, x):
-        out = [struct.pack("<q", int(x[0]))]
+    def least(self, x):
+        return _HEAD.size + 8 + sum(self._best(d)[0] for d in self._parts(x)) if len(x) else _HEAD.size
+
+    def _parts(self, x: np.ndarray) -> list[np.ndarray]:
         d = np.diff(x)
-        for low in range(0, len(d), self.block):
-            out.append(self._block(d[low : low + self.block]))
-        return b"".join(out)
+        return [d[low : low + self.block] for low in range(0, len(d), self.block)]
+
+    def body(self, x):
+        return b"".join([struct.pack("<q", int(x[0])), *[self._bands(d, *self._best(d)[1:]) for d in self._parts(x)]])
 
-    def _block(self, d: np.ndarray) -> bytes:
+    @classmethod
+    def _best(cls, d: np.ndarray) -> tuple[int, int, int]:
+        """The fewest bytes that _bands makes, and the thresholds of which it makes them."""
+        a, b = _cuts(len(d))
         order = np.sort(d)
-        best = None
-        cuts = sorted({0, *[int(len(d) * q) for q in (0.01, 0.02, 0.05, 0.1, 0.2)]})
-        for a in cuts:
-            for b in cuts:
-                if a + b >= len(d):
-                    continue
-                low, high = order[a], order[len(d) - 1 - b]
-                size = self._size(d, order, low, high)
-                if best is None or size < best[0]:
-                    best = size, low, high
-        return self._bands(d, *best[1:])
+        low, high = order[a], order[len(d) - 1 - b]
+        size = cls._size(d, order, low, high)
+        k = int(size.argmin())
+        return int(size[k]), low[k], high[k]
 
     @staticmethod
-    def _size(d: np.ndarray, order: np.ndarray, low: int, high: int) -> int:
-        """Bytes that _bands makes: each band's width follows from its least and greatest difference, so only the shortest is packed."""
-        n, under, upto = len(d), int(np.searchsorted(order, low)), int(np.searchsorted(order, high, "right"))
-        far = np.count_nonzero((d[128:] < low) | (d[128:] > high))  # places that take two bytes in a list
-        size = 30 + min((2 * n + 7) // 8, 2 * (under + n - upto) + far)
-        for start, end in ((under, upto), (0, under), (upto, n)):
-            if end > start:
-                size += ((int(order[end - 1]) - int(order[start])).bit_length() * (end - start) + 7) // 8
-        return size
+    def _size(d: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Bytes that _bands makes, for each low and high (arrays or one): each band's width follows from its least and greatest difference, so only the shortest is packed."""
+        n, under, upto = len(d), np.searchsorted(order, low), np.searchsorted(order, high, "right")
+        listed = 2 * (under + n - upto)
+        if n > 128:  # places that take two bytes in a list
+            far = np.sort(d[128:])
+            listed += np.searchsorted(far, low) + n - 128 - np.searchsorted(far, high, "right")
+        size = 30 + np.minimum((2 * n + 7) // 8, listed)
+        zero, all_ = np.zeros_like(under), np.full_like(under, n)
+        start, end = np.stack((under, zero, upto)), np.stack((upto, under, all_))
+        own = order.view(np.uint64)
+        w = np.where(end > start, bits.widths(own[end - 1] - own[np.minimum(start, n - 1)]), 0)
+        return size + ((w * (end - start) + 7) // 8).sum(axis=0)
 
     @staticmethod
     def _bands(d: np.ndarray, low: int, high: int) -> bytes:
@@ -263,7 +293,21 @@ class Smallest(Codec):
         self.codecs = codecs or [DeltaVarint(), SecondDifference()]
 
     def encode(self, x):
-        return min((c.encode(x) for c in self.codecs), key=len)
+        return self.shorter(integers(x), None, set())
+
+    def shorter(self, x: np.ndarray, most: int | None, tried: set[type]) -> bytes | None:
+        """The shortest payload, if it is shorter than most; codecs that were tried on x already are left out, and none is made of which the least size tells that it isn't shorter."""
+        best = None
+        for codec in self.codecs:
+            if type(codec) in tried:
+                continue
+            tried.add(type(codec))
+            if most is not None and codec.least(x) >= most:
+                continue
+            payload = codec.encode(x)
+            if most is None or len(payload) < most:
+                best, most = payload, len(payload)
+        return best
 
     def decode(self, data):
         for codec in self.codecs:

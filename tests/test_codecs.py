@@ -166,3 +166,28 @@ def test_blocks_come_in_one_stream(spark):
         at[0], at[1] = at[0] + 1, at[1] + v
     assert got == sorted((*k, c[0]) for k, c in want.items()) and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(str(r[0]), r[1]): r[2] for r in back} == {k: c[1] for k, c in want.items()}
+
+
+def test_levels_try_each_codec_once_and_pack_only_what_may_be_shorter(monkeypatch):
+    """Of levels that share codecs each is tried once for a block, and one of which the size tells that it isn't shorter makes no payload; payloads are the shortest all the same."""
+    made = []
+    for kind in (I.DeltaVarint, I.SecondDifference, I.DeltaBits, I.DeltaOfDelta, I.Runs, I.OutlierBits):
+        monkeypatch.setattr(kind, "encode", lambda self, x, kind=kind, encode=I.Codec.encode: (made.append(kind), encode(self, x))[1])
+    rng = np.random.default_rng(3)
+    levels = [frames.codec_of(f"level_{k}") for k in (0, 3, 5)]
+    for n in (1, 2, 40, 700):
+        for x in (rng.integers(-500, 500, n), np.arange(n), np.repeat(7, n), np.where(rng.random(n) < 0.05, rng.integers(-(2**45), 2**45, n), rng.integers(0, 9, n))):
+            made.clear()
+            name, payload = Fl.smallest(x.astype(float), levels)
+            assert len(made) == len(set(made)) and (n < 40 or I.Runs not in made or len(np.unique(x)) < n)
+            pools = [(f"level_{k}", c.encode(x)) for k in (0, 3, 5) for c in I.LEVELS[k]]
+            assert (name, payload) == min(pools, key=lambda p: len(p[1]))
+
+
+def test_the_size_of_packed_bits_is_known_before_they_are_packed():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 129, 130, 515, 1500):
+        for x in (rng.integers(-(2**63), 2**63 - 1, n), np.arange(n), np.cumsum(rng.integers(0, 9, n)), np.where(rng.random(n) < 0.1, 2**50, rng.integers(0, 99, n))):
+            for codec in (I.DeltaBits(), I.OutlierBits(), I.Raw(), *[I.DeltaOfDelta()] * (n > 2)):
+                assert codec.least(x) == len(codec.encode(x))
+            assert I.Runs().least(x) <= len(I.Runs().encode(x))
